@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import minhash
-from palimpsest.llm.common import table
+from palimpsest.llm import bpe, minhash, tokenfile
+from palimpsest.llm.common import Scratch, table
+
+
+def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read(spark, path).drop("ids")
+
+
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
