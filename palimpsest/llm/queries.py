@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, decontaminate, minhash, tokenfile
+from palimpsest.llm import bpe, decontaminate, minhash, sharding, tokenfile
 from palimpsest.llm.common import Scratch, table
 
 
@@ -15,6 +15,10 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path("files")
     tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
