@@ -51,6 +51,8 @@ def link_buckets(
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     stars: int = 2,
+    tighten: Callable[[DataFrame], DataFrame] | None = None,
+    may_still_link: Callable[[str, str], str] = lambda x, y: "true",
 ) -> DataFrame:
     """Components of the nodes that verified links join: (node, component) for linked nodes.
 
@@ -63,7 +65,9 @@ def link_buckets(
     A round links each bucket's lowest-ranked node to the others. A bucket whose nodes are all in
     one component then needs no more pairs: they cannot change the result. After the given number
     of such rounds, the buckets that still hold several components compare all pairs of nodes of
-    different components, so no link is lost, and no pairs are made within a component.
+    different components, so no link is lost, and no pairs are made within a component. For these
+    nodes alone, tighten may give (node, z) with more to look at, for may_still_link on two z: that
+    keeps a large bucket from comparing many nodes that cannot reach any of the others.
     """
     links = component = None
     done = None
@@ -85,8 +89,12 @@ def link_buckets(
             pairs = state.join(centre, "bucket").where("c <> d")
         else:
             rest = scratch.keep(state.join(open_.select("bucket"), "bucket"), "open")
-            other = rest.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("c").alias("d"))
-            pairs = rest.join(other, "bucket").where("c < d")
+            if tighten is None:
+                rest = rest.withColumn("z", F.lit(None))
+            else:
+                rest = rest.join(scratch.keep(tighten(rest.select("node").distinct()), "tight"), "node")
+            other = rest.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("z").alias("w"), F.col("c").alias("d"))
+            pairs = rest.join(other, "bucket").where("c < d").where(may_still_link("z", "w"))
         pairs = pairs.where(may_link("x", "y")).select(F.col("node").alias("a"), "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if done is not None:

@@ -8,6 +8,8 @@
 3. Signatures of candidates are compared batch by batch. After each batch the posterior chance,
    from a uniform prior, that the similarity reaches the threshold is bounded below by `miss`:
    beneath it, the pair is given up.
+   In the last comparisons (see link_buckets) a pair also goes when the shingles that either has in
+   common with any other document left are too few: no intersection holds more.
 4. Survivors are confirmed on full shingle sets.
 
 A pair at the threshold itself misses all bands with a chance under 3e-5 at the defaults, and is
@@ -192,6 +194,21 @@ def confirm(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, shingle) for each distinct shingle of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in kernel.slices(batch.column(1)):
+                hashes, bounds = shingle_hashes(kernel.Words(data, offsets, WORD_BYTES))
+                for d in range(high - low):
+                    own = np.unique(hashes[bounds[d] : bounds[d + 1]])
+                    node = pa.array(np.full(len(own), batch.column(0)[low + d].as_py()))
+                    yield pa.RecordBatch.from_arrays([node, pa.array(kernel.signed(own))], names=["node", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75
 ) -> DataFrame:
@@ -233,6 +250,17 @@ def near_duplicates(
         chosen.where("doc_id is not null").join(docs.where("text is not null"), "doc_id").groupBy("node").agg(F.min("text").alias("text")), "texts"
     )
 
+    def tighten(nodes: DataFrame) -> DataFrame:
+        """How many shingles of a node any other of the nodes has: no intersection is larger."""
+        rows = scratch.keep(shingle_rows(texts.join(nodes, "node")), "shingles")
+        common = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+        found = rows.join(common.select("shingle"), "shingle").groupBy("node").agg(F.count("*").alias("s"))
+        found = classes.select("node", "n").join(found, "node")
+        return found.where(f"100 * s >= {percent} * n").select("node", F.struct("n", "s").alias("z"))
+
+    def may_still_link(z: str, w: str) -> str:
+        return f"{100 + percent} * least({z}.s, {w}.s) >= {percent} * ({z}.n + {w}.n)"
+
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
         two = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
@@ -241,7 +269,7 @@ def near_duplicates(
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return confirm(alive.join(left, "a").join(right, "b"), percent)
 
-    component = link_buckets(members, may_link, verify, scratch)
+    component = link_buckets(members, may_link, verify, scratch, tighten=tighten, may_still_link=may_still_link)
     grouped = classes.select("node", "rank").join(component, "node", "left").select(
         "node", "rank", F.coalesce("component", "node").alias("component")
     )
