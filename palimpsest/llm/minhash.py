@@ -30,8 +30,12 @@ from palimpsest.llm import kernel
 from palimpsest.llm.common import Scratch
 from palimpsest.llm.components import link_buckets
 
-ROWS, BANDS, BATCH, SHINGLE = 5, 40, 40, 5
-MISS = 1e-6
+ROWS, BANDS, BATCH, SHINGLE = 5, 40, 80, 5
+#: Values of a signature; the bands take the first ones.
+TOTAL = 400
+#: Bits of each value that are compared within the join.
+PLANES = 2
+MISS = 1e-5
 #: All but white space of ASCII.
 WORD_BYTES = ~kernel.byte_set((0x20, 0x20), (0x09, 0x0D))
 
@@ -65,24 +69,25 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-WORDS = -(-ROWS * BANDS // 64)
+WORDS = -(-TOTAL // 64)
 
 
 def low_bits(sig: np.ndarray) -> np.ndarray:
-    """The lowest bit of each signature value, packed into WORDS longs per document."""
-    flags = np.zeros((len(sig), WORDS * 64), np.uint8)
-    flags[:, : sig.shape[1]] = sig & 1
-    return np.packbits(flags, axis=1).view(np.int64).reshape(-1)
+    """The lowest PLANES bits of each signature value: per document PLANES times WORDS packed longs."""
+    flags = np.zeros((len(sig), PLANES, WORDS * 64), np.uint8)
+    for i in range(PLANES):
+        flags[:, i, : sig.shape[1]] = (sig >> i) & 1
+    return np.packbits(flags, axis=2).view(np.int64).reshape(-1)
 
 
-def most_unequal_bits(threshold: float, total: int = ROWS * BANDS, miss: float = MISS) -> int:
-    """The most unequal low bits of a pair at the threshold, but for a chance of miss.
+def most_unequal(threshold: float, total: int = TOTAL, miss: float = MISS) -> int:
+    """The most positions with unequal low bits of a pair at the threshold, but for a chance of miss.
 
-    Equal values have equal bits and others have so half the time: unequal ones are binomial.
+    Equal values have equal bits and others have so by chance: unequal ones are binomial.
     """
     from math import comb
 
-    p, tail = (1 - threshold) / 2, 0.0
+    p, tail = (1 - threshold) * (1 - 0.5**PLANES), 0.0
     for d in range(total, -1, -1):
         tail += comb(total, d) * p**d * (1 - p) ** (total - d)
         if tail > miss:
@@ -106,9 +111,9 @@ def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     own = np.unique(hashes[bounds[d] : bounds[d + 1]])
                     size[d] = len(own)
                     node[d] = np.add.reduce(kernel.mix(own))
-                sig = signatures(hashes, bounds, ROWS * BANDS)
-                key = kernel.prefix_sums(sig.reshape(-1).astype(np.uint64) + np.uint64(1))
-                start = np.arange(0, sig.size, ROWS)
+                sig = signatures(hashes, bounds, TOTAL)
+                key = kernel.prefix_sums(sig[:, : ROWS * BANDS].reshape(-1).astype(np.uint64) + np.uint64(1))
+                start = np.arange(0, len(key) - 1, ROWS)
                 band = kernel.mix(kernel.window_hash(key, start, start + ROWS) ^ np.tile(np.arange(BANDS, dtype=np.uint64), high - low))
                 node = kernel.mix(node ^ size.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
@@ -118,7 +123,7 @@ def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                         pa.array(kernel.signed(node)),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * BANDS, pa.array(kernel.signed(band))),
-                        pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * WORDS, pa.array(low_bits(sig))),
+                        pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * WORDS * PLANES, pa.array(low_bits(sig))),
                     ],
                     names=["doc_id", "n_shingles", "node", "sig", "bands", "bits"],
                 )
@@ -126,7 +131,7 @@ def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
 
 
-def least_matches(threshold: float, batch: int = BATCH, total: int = ROWS * BANDS, miss: float = MISS) -> list[int]:
+def least_matches(threshold: float, batch: int = BATCH, total: int = TOTAL, miss: float = MISS) -> list[int]:
     """After each batch, the fewest equal positions with which a pair stays in.
 
     The posterior of the similarity after m of n equal positions, from a uniform prior, is
@@ -147,7 +152,7 @@ def least_matches(threshold: float, batch: int = BATCH, total: int = ROWS * BAND
     return out
 
 
-def prune(pairs: DataFrame, threshold: float, total: int = ROWS * BANDS) -> DataFrame:
+def prune(pairs: DataFrame, threshold: float, total: int = TOTAL) -> DataFrame:
     """Pairs (a, b, sa, sb) that survive the sequential comparison, as (a, b)."""
     least = least_matches(threshold)
 
@@ -236,10 +241,11 @@ def near_duplicates(
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("x")).where("n > 1").select("bucket")
     looks = classes.select("node", F.struct("n", "bits").alias("x"))
     members = scratch.keep(members.join(shared, "bucket").join(looks, "node").select("bucket", "rank", "node", "x"), "members")
-    unequal = most_unequal_bits(percent / 100)
+    unequal = most_unequal(percent / 100)
 
     def may_link(x: str, y: str) -> str:
-        bits = " + ".join(f"bit_count({x}.bits[{i}] ^ {y}.bits[{i}])" for i in range(WORDS))
+        unlike = lambda i: " | ".join(f"({x}.bits[{i + j * WORDS}] ^ {y}.bits[{i + j * WORDS}])" for j in range(PLANES))
+        bits = " + ".join(f"bit_count({unlike(i)})" for i in range(WORDS))
         return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {bits} <= {unequal}"
 
     # one text of each class that has a candidate, for the exact check
