@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, decontaminate, fingerprints, minhash, pii, sharding, tokenfile
+from palimpsest.llm import bpe, decontaminate, fingerprints, minhash, pii, sharding, tokenfile, toxicity
 from palimpsest.llm.common import Scratch, table
 
 
@@ -25,6 +25,10 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).drop("ids")
 
 
+def op5_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.detect(table(spark, sf_dir, "documents")))
 
