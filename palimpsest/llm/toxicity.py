@@ -27,7 +27,7 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: At most so many labelled documents are learned from, the first by a hash of their ids.
 BOUND = 8000
 #: A feature needs so many documents of label 1, and so many standard deviations above chance.
-SUPPORT, DEVIATIONS = 6, 7.0
+SUPPORT, DEVIATIONS = 4, 5.5
 #: A feature's log odds of label 1, drawn towards the overall rate, are at least so high: a mere lean is none.
 LEAN = 0.8
 #: Learned features are sent to all executors: at most so many, the strongest.
