@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, decontaminate, fingerprints, line_dedup, minhash, pii, sharding, tokenfile, toxicity
+from palimpsest.llm import bpe, decontaminate, fingerprints, line_dedup, minhash, pii, sharding, suffix_dedup, tokenfile, toxicity
 from palimpsest.llm.common import Scratch, table
 
 
+def op1_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
