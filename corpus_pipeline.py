@@ -1,11 +1,69 @@
-"""Stages of a training-corpus pipeline (being filled in)."""
+"""From documents to token ids: five stages, each one of the operators of palimpsest.llm.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of
+documents. Rows are told apart by doc_id. Empty tables pass through; null texts are kept to the end.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, decontaminate, line_dedup, minhash, toxicity
+from palimpsest.llm.common import Scratch, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; labels of all documents may be learned from."""
+    return _without(docs, toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of which another occurrence stays go, and documents that have lost all they said with them."""
+    done = line_dedup.deduplicate(docs)
+    left = done.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicate groups the document with the smallest id stays; of repeated rows, one."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return left.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where(F.size("spans") > 0))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of whole texts."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each),
+    ("decontamination", remove_benchmark),
+    ("encoding", encode),
+]
+
+#: SimHash, edit similarity and learned scores have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
