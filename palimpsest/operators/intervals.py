@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ORDER = Window.orderBy("start")
+def _order():
+    return Window.orderBy("start")
+
 
 
 def fragment(rt: DataFrame) -> DataFrame:
@@ -25,8 +27,8 @@ def fragment(rt: DataFrame) -> DataFrame:
 
 def coalesce(fragments: DataFrame) -> DataFrame:
     """Joins fragments that touch and have the same timestamps."""
-    same = (F.lag("end").over(ORDER) == F.col("start")) & (F.lag("covering_ts").over(ORDER) == F.col("covering_ts"))
-    runs = fragments.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(ORDER))
+    same = (F.lag("end").over(_order()) == F.col("start")) & (F.lag("covering_ts").over(_order()) == F.col("covering_ts"))
+    runs = fragments.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(_order()))
     return runs.groupBy("run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.first("covering_ts").alias("covering_ts")
     ).drop("run")
@@ -55,7 +57,7 @@ def collect_garbage(fragments: DataFrame, watermark: int) -> DataFrame:
 
 def gaps(ranges: DataFrame, low, high) -> DataFrame:
     """What of [low, high) no (start, end) covers."""
-    reach = F.max("end").over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("end").over(_order().rowsBetween(Window.unboundedPreceding, -1))
     clipped = ranges.select(
         F.greatest(F.col("start"), F.lit(low)).alias("start"), F.least(F.col("end"), F.lit(high)).alias("end")
     ).where("start < end")
