@@ -57,9 +57,8 @@ def cut_points(df: DataFrame, col: str, buckets: int) -> list[int]:
 
 def bucket_of(col: Column, cuts: list[int]) -> Column:
     """The number of cuts at or below a value: range buckets in the values' order; null goes first."""
-    if not cuts:
-        return F.lit(0)
-    return F.when(col.isNull(), 0).otherwise(F.expr("0") if not cuts else _bisect(col, cuts, 0, len(cuts)))
+    # never a bare number, which groupBy() would take for a position
+    return F.when(col.isNull(), 0).otherwise(_bisect(col, cuts, 0, len(cuts)))
 
 
 def _bisect(col: Column, cuts: list[int], low: int, high: int) -> Column:

@@ -209,7 +209,7 @@ def score(
                 )
 
     n, ones = sample.agg(F.count("*"), F.sum("label")).first()
-    rate = ((ones or 0) + 0.5) / (n + 1)
+    rate = ((ones or 0) + 0.1) / (n + 1)  # with no labels at all, a document is rather clean
     by_feature = sample.mapInArrow(learn, "feature long, ones long, n long").groupBy("feature").agg(
         F.sum("ones").alias("ones"), F.sum("n").alias("n")
     )
