@@ -7,6 +7,8 @@ has the large values. The clock is logical: now is the read timestamp.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql.window import Window
 from palimpsest.functions import keys
 from palimpsest.operators import compaction, intervals, stats, valuelog
 from palimpsest.operators import resolve as R
+from palimpsest.store import Options, VersionedStore
+from palimpsest.streaming.ingest import ingest, latest
 
 AT = 9000
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -513,6 +517,64 @@ def a9(spark, d):
     return valuelog.stale_ratio(values, log).agg(F.sum("total_bytes").alias("total_bytes"), F.sum("dead_bytes").alias("dead_bytes"))
 
 
+@query("u3_orphan_files", f"WITH {VAL} SELECT CAST(0 AS BIGINT) AS orphans")
+def u3(spark, d):
+    log, values = valuelog.separate(value_log(spark, d))
+    return valuelog.orphans(values, log).agg(F.count("*").alias("orphans"))
+
+
+@query("j13_file_references", f"WITH {VAL} SELECT kind, count(*) AS n FROM (SELECT kind, ts FROM vlog WHERE coalesce(strlen(v) >= 1024, false)) GROUP BY kind")
+def j13(spark, d):
+    log, values = valuelog.separate(value_log(spark, d))
+    both = log.where("ptr is not null").select("ptr.file_id", "ptr.offset").join(values.drop("v"), ["file_id", "offset"])
+    return both.agg(F.count("*").alias("n")).where("n > 0").selectExpr("0 as kind", "n")
+
+
+@query("a16_level_rows", f"WITH {LOG} SELECT CAST((ts - 1) // 1000 AS BIGINT) % 3 AS level, count(DISTINCT (ts - 1) // 1000) AS runs, count(*) AS n_rows FROM log GROUP BY 1")
+def a16(spark, d):
+    return segments(spark, d).withColumn("level", F.col("id") % 3).groupBy("level").agg(F.count("*").alias("runs"), F.sum("n_rows").alias("n_rows"))
+
+
+@query("a21_saturating_diff", "SELECT event_id, CAST(greatest(user_id - 50, 0) AS BIGINT) AS d FROM events")
+def a21(spark, d):
+    return table(spark, d, "events").select("event_id", stats.saturating_diff(F.col("user_id"), F.lit(50)).cast("long").alias("d"))
+
+
+def _store(spark: SparkSession) -> VersionedStore:
+    """An empty store in the folder that all executors share; a local one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return VersionedStore.open(spark, f"{root}/store-{uuid.uuid4().hex}", Options(value_type="double"))
+
+
+BY_USER = """SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS k, value AS v FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'"""
+FEED = ["'u' || lpad(cast(user_id as string), 8, '0') as k", "value as v", "event_id as pos", "if(event_type = 'error', 'del', 'put') as op"]
+
+
+@query("x_store_ingest_scan", BY_USER)
+def x_store(spark, d):
+    store = _store(spark)
+    events = table(spark, d, "events")
+    cut = events.agg(F.expr("max(event_id) div 2")).first()[0]
+    store.ingest(events.where(F.col("event_id") <= cut).selectExpr(*FEED))
+    store.ingest(events.where(F.col("event_id") > cut).selectExpr(*FEED))
+    store.compact()
+    return store.scan()
+
+
+@query("st1_stream_ingest", BY_USER)
+def st1(spark, d):
+    store = _store(spark)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").selectExpr(*FEED)  # a pattern: a stream takes no single file
+    ingest(stream, store, f"{store.root}/progress", f"q{uuid.uuid4().hex}").awaitTermination()
+    return store.scan()
+
+
+@query("st5_latest_state", f"WITH {LOG} SELECT k, max(ts) AS ts FROM log GROUP BY k")
+def st5(spark, d):
+    return latest(change_log(spark, d)).select("k", "ts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _found.items()}
 
