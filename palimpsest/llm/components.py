@@ -65,7 +65,8 @@ def link_buckets(
     A round links each bucket's lowest-ranked node to the others. A bucket whose nodes are all in
     one component then needs no more pairs: they cannot change the result. After the given number
     of such rounds, the buckets that still hold several components compare all pairs of nodes of
-    different components, so no link is lost, and no pairs are made within a component. For these
+    different components, so no link is lost, and no pairs are made within a component; rounds end
+early only when no bucket holds several components. For these
     nodes alone, tighten may give (node, z) with more to look at, for may_still_link on two z: that
     keeps a large bucket from comparing many nodes that cannot reach any of the others.
     """
@@ -101,7 +102,10 @@ def link_buckets(
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            # no centre has a new candidate; other members of a bucket may still have some
+            if step == stars or open_.isEmpty():
+                break
+            continue
         done = pairs if done is None else done.unionByName(pairs)
         found = scratch.keep(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)

@@ -11,6 +11,8 @@ import pyarrow as pa
 import pytest
 
 from palimpsest.llm import bpe, decontaminate, fingerprints, kernel, line_dedup, minhash, pii, pretoken, sharding, suffix_dedup, tokenfile, toxicity
+from palimpsest.llm.common import Scratch
+from palimpsest.llm.components import link_buckets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -291,6 +293,16 @@ def test_op8_lines_equal_brute_force(docs, rows, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_buckets_lose_no_link_when_a_star_round_is_empty(spark):
+    # the first centre is far from both others, and so is each later centre but 2 or 3
+    scratch = Scratch(spark, "test")
+    members = spark.createDataFrame([(7, 0, n, (x,)) for n, x in ((1, 0), (2, 50), (3, 51))], "bucket long, rank int, node long, x struct<v:int>")
+    near = lambda x, y: f"abs({x}.v - {y}.v) <= 1"
+    for stars in (0, 1, 2):
+        found = link_buckets(members, near, lambda pairs: pairs, scratch, stars=stars)
+        assert {(r.node, r.component) for r in found.collect()} == {(2, 2), (3, 2)}
+
+
 def test_op9_components_equal_brute_force(docs, rows, empty):
     sets = []
     for _, t in rows:
