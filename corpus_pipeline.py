@@ -25,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of which another occurrence stays go, and documents that have lost all they said with them."""
-    done = line_dedup.deduplicate(docs)
+    done = line_dedup.deduplicate(docs, bits=None)
     left = done.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

@@ -1,12 +1,19 @@
-"""Fuzzy line deduplication: SimHash blocks as buckets, verified by edit distance.
+"""Fuzzy line deduplication: shared windows as buckets, verified by edit distance.
 
 A line is normalised to its words (letters and digits, A-Z lower-cased, each digit a 0) with single
-spaces. Lines of equal normal form are one class. Two classes are linked when their 64-bit SimHash
-values differ in at most DISTANCE bits and the edit distance of the normal forms is at most
-1 - SIMILARITY of the longer one. By the pigeonhole principle two values that close agree on all
-bits of at least BLOCKS - DISTANCE of BLOCKS blocks, so each value is dealt by every choice of so
-many blocks, and no link is missed. Of each connected group the first occurrence stays, by document
-id, then line. Lines without a word are no one's copies and always stay.
+spaces. Lines of equal normal form are one class. Two classes are linked when the edit distance of
+the normal forms is at most 1 - SIMILARITY of the longer one. Candidates share one of MINIMA values
+of a MinHash of their byte windows, of a width that goes with the length (TIERS overlap, so two lines
+that can be linked always share a tier). A pair is missed only if all of these values differ. Counts
+of letters, which an edit moves by at most 2, leave out pairs that cannot be linked.
+
+With bits given, a link must also have 64-bit SimHash values of words at most so many bits apart,
+which leaves out most lines with an edited word; the queries do not use it. By the pigeonhole
+principle two values that close agree on all bits of at least BLOCKS - bits of BLOCKS blocks, so
+each value is dealt by every choice of so many blocks, and no such link is missed.
+
+Of each connected group the first occurrence stays, by document id, then line. Lines without a word
+are no one's copies and always stay.
 """
 
 from __future__ import annotations
@@ -25,6 +32,13 @@ from palimpsest.llm.components import link_buckets
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
 WORD_BYTES = kernel.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
+#: (least, most characters of a line, bytes of a window); lines that may be linked share a tier.
+TIERS = ((9, 44, 4), (40, 110, 8), (100, 1 << 40, 12))
+#: Values of the MinHash of a line's windows; each is a bucket.
+MINIMA = 24
+_FACTORS = kernel.mix(np.arange(MINIMA, dtype=np.uint64)) | np.uint64(1)
+#: Characters are counted in so many groups by their first byte, each count up to 255.
+GROUPS = 8
 #: Slots of the table that tells which lines' texts are asked for; a full one only costs time.
 SLOTS = 1 << 20
 _NORMAL = kernel.LOWER.copy()
@@ -68,13 +82,56 @@ class Lines:
             out[at : at + step] = np.add.reduceat(bits, a - a[0], axis=0, dtype=np.int32)
         return np.packbits(2 * out > (high - low)[:, None], axis=1).view(np.uint64).reshape(-1)
 
+    def normal(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the normal forms of the lines with words, and where each starts and the last ends."""
+        w = self.words
+        data, keep = w.data.copy(), WORD_BYTES[w.data]
+        inner = np.ones(len(w.start), bool)
+        inner[w.first[1:][self.some] - 1] = False
+        between = w.end[inner]  # no word's byte, as another word of the line follows
+        data[between], keep[between] = 0x20, True
+        sums = np.concatenate(([0], np.cumsum(keep)))
+        return data[keep], np.append(sums[w.start[w.first[:-1][self.some]]], sums[-1])
+
+    def letters(self) -> np.ndarray:
+        """Of the lines with words: how many characters of each group there are, one byte a count."""
+        data, at = self.normal()
+        line = np.repeat(np.arange(len(self.some)), np.diff(at))
+        lead = (data & 0xC0) != 0x80
+        counts = np.bincount(line[lead] * GROUPS + data[lead] % GROUPS, minlength=GROUPS * len(self.some))
+        return np.minimum(counts, 255).astype(np.uint8).view(np.uint64)
+
+    def minima(self) -> tuple[np.ndarray, np.ndarray]:
+        """(index into some, bucket): the least values of the windows of each line, for each of its tiers."""
+        data, at = self.normal()
+        sums, length = kernel.prefix_sums(kernel._SYMBOL[data]), self.lengths()
+        lines, found = [], []
+        for tier, (low, high, width) in enumerate(TIERS):
+            own = np.flatnonzero((length >= low) & (length <= high))
+            if not len(own):
+                continue
+            n = np.maximum(at[own + 1] - at[own] - (width - 1), 1)
+            start = kernel.ranges(at[own], n)
+            value = kernel.window_hash(sums, start, start + width)
+            first = np.cumsum(n) - n
+            for i, factor in enumerate(_FACTORS):
+                least = np.minimum.reduceat(value * factor, first)
+                lines.append(own)
+                found.append(kernel.mix(least ^ np.uint64(tier * MINIMA + i)))
+        if not lines:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.concatenate(lines), np.concatenate(found)
+
     def text(self, i: int) -> bytes:
         w = self.words
         return b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(w.first[i], w.first[i + 1]))
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, number, node, simhash, length) of each line with words of (doc_id, key, text)."""
+def sign(docs: DataFrame, simhash: bool = False) -> DataFrame:
+    """(doc_id, key, number, node, sketch, length) of each line with words of (doc_id, key, text).
+
+    sketch: the counts of letters, or the SimHash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,13 +144,13 @@ def sign(docs: DataFrame) -> DataFrame:
                         batch.column(1)[low:high].take(row),
                         pa.array(lines.number[lines.some]),
                         pa.array(kernel.signed(lines.node)),
-                        pa.array(kernel.signed(lines.simhash())),
+                        pa.array(kernel.signed(lines.simhash() if simhash else lines.letters())),
                         pa.array(lines.lengths()),
                     ],
-                    names=["doc_id", "key", "number", "node", "simhash", "length"],
+                    names=["doc_id", "key", "number", "node", "sketch", "length"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, key long, number long, node long, simhash long, length long")
+    return docs.mapInArrow(run, "doc_id long, key long, number long, node long, sketch long, length long")
 
 
 def normal_forms(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -117,34 +174,62 @@ def normal_forms(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min("line").alias("line"))
 
 
-def _buckets() -> list[str]:
+def deal(docs: DataFrame) -> DataFrame:
+    """(bucket, node) of the lines with words, once in a slice; rows may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in kernel.slices(batch.column(0)):
+                lines = Lines(data, offsets)
+                own, bucket = lines.minima()
+                once = np.zeros(len(lines.some), bool)
+                once[np.unique(lines.node, return_index=True)[1]] = True
+                keep = once[own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kernel.signed(bucket[keep])), pa.array(kernel.signed(lines.node[own[keep]]))], names=["bucket", "node"]
+                )
+
+    return docs.select("text").mapInArrow(run, "bucket long, node long")
+
+
+def _buckets(bits: int) -> list[str]:
     """SQL: for each choice of blocks, a hash of the choice and the bits of its blocks."""
     out = []
-    for i, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
+    for i, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - bits)):
         mask = sum(((1 << int(CUTS[b + 1] - CUTS[b])) - 1) << int(CUTS[b]) for b in chosen)
         mask -= (1 << 64) if mask >= 1 << 63 else 0
-        out.append(f"xxhash64({i}, simhash & {mask}L)" if mask != -(1 << 63) else f"xxhash64({i}, simhash)")
+        out.append(f"xxhash64({i}, sketch & {mask}L)" if mask != -(1 << 63) else f"xxhash64({i}, sketch)")
     return out
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_lines(docs: DataFrame, scratch: Scratch, bits: int | None = None) -> DataFrame:
     """(doc_id, key, numbers): for each document of (doc_id, key, text) the lines that others stand for."""
-    lines = scratch.keep(sign(docs), "lines")
+    lines = scratch.keep(sign(docs, bits is not None), "lines")
     here = F.struct("doc_id", "key", "number")
     classes = scratch.keep(
         lines.groupBy("node").agg(
-            F.min("simhash").alias("simhash"), F.min("length").alias("length"), F.min(here).alias("first"), F.count("*").alias("n")
+            F.min("sketch").alias("sketch"), F.min("length").alias("length"), F.min(here).alias("first"), F.count("*").alias("n")
         ),
         "classes",
     )
-    dealt = classes.selectExpr(f"explode(array({', '.join(_buckets())})) as bucket", "node", "simhash", "length")
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    if bits is None:
+        dealt = deal(docs)
+    else:
+        dealt = classes.selectExpr(f"explode(array({', '.join(_buckets(bits))})) as bucket", "node")
+    dealt = dealt.repartition("bucket")
+    # of both columns, so that the two sides read one exchange
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+    met = scratch.keep(dealt.join(shared, "bucket").distinct(), "met")
     members = scratch.keep(
-        dealt.join(shared, "bucket").select("bucket", F.lit(0).alias("rank"), "node", F.struct("simhash", "length").alias("x")), "members"
+        met.join(classes, "node").select("bucket", F.lit(0).alias("rank"), "node", F.struct("sketch", "length").alias("x")), "members"
     )
 
     def may_link(x: str, y: str) -> str:
-        close = f"bit_count({x}.simhash ^ {y}.simhash) <= {DISTANCE}"
+        if bits is None:
+            apart = " + ".join(f"abs((({x}.sketch >> {8 * i}) & 255) - (({y}.sketch >> {8 * i}) & 255))" for i in range(GROUPS))
+            close = f"{apart} <= 2 * floor({1 - SIMILARITY:.6f} * greatest({x}.length, {y}.length) + 1e-9)"
+        else:
+            close = f"bit_count({x}.sketch ^ {y}.sketch) <= {bits}"
         return f"{close} and least({x}.length, {y}.length) >= {SIMILARITY} * greatest({x}.length, {y}.length)"
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -164,16 +249,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.col("number").cast("int"))).alias("numbers"))
 
 
-def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = DISTANCE) -> DataFrame:
     """All rows and columns, with the text that is left, and removed_lines (array of line numbers from 0).
 
-    Columns named removed_lines in the input are replaced. Null and empty texts stay as they are.
+    bits: see the module; None links lines by their edit distance alone. Columns named removed_lines in the input are replaced. Null and empty texts stay as they are.
     Rows of equal id and text are one document and keep the same lines. Null ids come first.
     """
     scratch = Scratch(documents.sparkSession, "lines")
     key = F.xxhash64(F.col(text_col))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
-    gone = scratch.keep(repeated_lines(docs, scratch), "gone").select(
+    gone = scratch.keep(repeated_lines(docs, scratch, bits), "gone").select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("numbers").alias("__numbers")
     )
     rows = documents.drop("removed_lines").withColumn("__row_key", key)
@@ -185,9 +270,9 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, bits: int | None = DISTANCE) -> DataFrame:
     """Per document: doc_id, n_removed, removed (line numbers, comma-joined), text_sha256 of the text left."""
-    done = deduplicate(documents.select("doc_id", "text"))
+    done = deduplicate(documents.select("doc_id", "text"), bits=bits)
     return done.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("removed_lines").cast("long").alias("n_removed"),

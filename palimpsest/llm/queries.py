@@ -42,7 +42,7 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), bits=None)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

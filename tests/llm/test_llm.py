@@ -293,6 +293,28 @@ def test_op8_lines_equal_brute_force(docs, rows, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_op8_finds_lines_with_an_edited_word(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvwyé") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    first, again = [], []
+    for n in (4, 8, 12, 16, 20, 30, 60):
+        for _ in range(40):
+            line = [rng.choice(words) for _ in range(n)]
+            most = len(" ".join(line)) // 10
+            at = rng.choice([i for i, w in enumerate(line) if len(w) <= most] or [0])
+            other = line[:at] + ["".join(rng.choice("xqz") for _ in line[at][:most]) + line[at][most:]] + line[at + 1 :]
+            first.append(" ".join(line))
+            again.append(" ".join(other))
+    rows = [(i, t) for i, t in enumerate(first + again)] + [(1000, "")]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    removed = {r.doc_id for r in line_dedup.report(many, bits=None).collect() if r.n_removed}
+    assert removed == set(range(len(first), 2 * len(first)))
+    data = "\n".join(first).encode()
+    lines = line_dedup.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    flat, at = lines.normal()
+    assert [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)] == [lines.text(i) for i in lines.some]
+
+
 def test_buckets_lose_no_link_when_a_star_round_is_empty(spark):
     # the first centre is far from both others, and so is each later centre but 2 or 3
     scratch = Scratch(spark, "test")
