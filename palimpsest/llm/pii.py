@@ -11,8 +11,8 @@ discloses an entity e by the share of e's information that it carries,
 
     PMI(e; t) / IC(e) = log(p(e | t) / p(e)) / log(1 / p(e)),
 
-with p(e | t) estimated from all other contexts of t in the corpus (one context, the word's own,
-is left out, so a word seen once tells nothing). Words at or above the threshold are spans of
+with p(e | t) estimated from all contexts of t in the corpus and one more in which e is as likely
+as anywhere, so a word seen once, beside an entity seen once, is judged too. Words at or above the threshold are spans of
 their own in the documents that hold the entity; sanitise() generalises base spans to their kind
 and removes such words. Counts cover all lines of all documents.
 """
@@ -128,12 +128,12 @@ def detect(
         .select("entity", F.explode(_terms(F.col("line"))).alias("term"))
         .groupBy("entity", "term")
         .agg(F.count("*").alias("n_both"))
-        .where("n_both > 1")  # one context is the word's own: the estimate is then 0
     )
     all_lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
     term = all_lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0] or 0
-    p_e, p_et = F.col("n_e") / F.lit(float(max(total, 1))), (F.col("n_both") - 1) / (F.col("n_t") - 1)
+    p_e = F.col("n_e") / F.lit(float(max(total, 1)))
+    p_et = (F.col("n_both") + p_e) / (F.col("n_t") + 1)
     share = F.when(p_e < 1, F.log(p_et / p_e) / -F.log(p_e)).otherwise(0.0)
     gives = both.join(entity, "entity").join(term, "term").where(share >= disclosed).select("entity", "term")
     own = held.select("key", F.explode("entities").alias("entity")).distinct()

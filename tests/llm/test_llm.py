@@ -223,6 +223,13 @@ def test_op6_base_spans_and_disclosure(spark, docs, rows, empty):
     assert pii.report(pii.detect(empty)).count() == 0
 
 
+def test_op6_judges_words_of_entities_seen_once(spark):
+    rows = [(0, "ask vexilla at once@mail.example about garden"), (1, "\n".join(["ask about garden at noon"] * 3000))]
+    many = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.term for r in pii.detect(many).collect()}
+    assert [s.value for s in found[0]] == ["vexilla"] and found[1] == []
+
+
 def test_op7_equals_the_library(docs, rows, empty):
     import tiktoken
 
