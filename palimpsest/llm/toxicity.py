@@ -1,8 +1,9 @@
 """Toxicity: obfuscated words restored by a noisy channel, then scored by learned word features.
 
 Channel: a writer may put a look-alike sign for a letter, repeat a letter, or space a word out.
-Spans that could be so written are found in numpy; each gets a lattice of the letters that every
-sign may stand for, and Viterbi decoding under a character trigram model picks the reading. The
+Spans that could be so written are found in numpy; each gets a lattice of what every sign may
+stand for (a letter, or nothing at an end of the span or between separators), of separators (within
+a word or between two) and of repeats, and Viterbi decoding under a character trigram model picks the reading. The
 trigrams are counted over all texts of the corpus. All other text stays as it is.
 
 Scoring: features are the words of the restored text and their first 3 to 6 bytes. Their counts
@@ -38,9 +39,10 @@ WORD_BYTES = kernel.byte_set((0x61, 0x7A), (0x80, 0xFF))
 PREFIXES = (3, 4, 5, 6)
 #: a-z are 1 to 26, all other letters 27, what is no letter 0.
 SYMBOLS = 28
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*])[^\W_])(?:\1[^\W_])+(?![^\W_])")
-_SIGNED = re.compile(r"(?<![\w@$!|])(?=[\w@$!|]*[a-z])(?=[a-z]*[0-9@$!|])[a-z0-9@$!|]{3,24}(?![\w@$|])")
-_LONG = re.compile(r"(?<![^\W\d_])[a-z]*([a-z])\1\1+[a-z]*(?![^\W\d_])")
+_UNIT, _NEAR, _GAPS = r"(?:[^\W_]|[@$!|])", r"[\w@$!|]", " .-_*"
+_SPACED = re.compile(rf"(?<!{_NEAR}){_UNIT}(?:[ .\-_*]{_UNIT}){{2,}}(?!{_NEAR})")
+_SIGNED = re.compile(rf"(?<!{_NEAR})(?=[^\W\d_]*[0-9@$!|])(?=[0-9@$!|]*[^\W\d_]){_UNIT}{{3,}}(?!{_NEAR})")
+_LONG = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1+[^\W\d_]*(?![^\W\d_])")
 
 _CODE = np.zeros(256, np.int64)
 _CODE[0x61:0x7B] = np.arange(1, 27)
@@ -58,23 +60,37 @@ class Model:
         self.table = np.log(mixed / mixed.sum(2, keepdims=True)).tolist()
 
     def decode(self, text: str) -> str:
-        """The likeliest letters behind a word as written; signs that stand for no letter end it."""
+        """The likeliest reading of a span as written: letters, and what stands for none as it is."""
         code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
-        states = {(0, 0): (0.0, "")}
+        edge = "".join(LOOKALIKES) + _GAPS
+        first, last = len(text) - len(text.lstrip(edge)), len(text.rstrip(edge))
+        # by the last two letters: (score, (reading so far, its last sign)); no letter is (0, 0)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
-        for sign in text:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            reads = [(c, -0.7 * (sign in LOOKALIKES)) for c in LOOKALIKES.get(sign, sign)]
+        for i, sign in enumerate(text):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            gap = sign in _GAPS
+            alone = text[i - 1 : i] in _GAPS and text[i + 1 : i + 2] in _GAPS
+            plain = gap or (sign in LOOKALIKES and (i < first or i >= last or alone))
+            reads = [] if gap else [(c, -0.7 * (sign in LOOKALIKES)) for c in LOOKALIKES.get(sign, sign)]
             for (p, q), (score, out) in states.items():
-                found = [(score + cost + self.table[p][q][code(c)], out + c, (q, code(c))) for c, cost in reads]
-                if sign == before and out:  # a repeat of the letter before, written once too often
+                found = [(score + cost + self.table[p][q][code(c)], (out, c), (q, code(c))) for c, cost in reads]
+                if plain:  # it ends the word, if there is one
+                    found.append((score + (self.table[p][q][0] if q else 0.0), (out, sign), (0, 0)))
+                if gap and q:  # it spaces the word out
+                    found.append((score - 0.3, out, (p, q)))
+                if sign == before and q:  # a repeat of the letter before, written once too often
                     found.append((score - 1.0, out, (p, q)))
                 for s, o, key in found:
                     if key not in after or after[key][0] < s:
                         after[key] = (s, o)
-            states, before = after, sign
-        ends = [(score + self.table[p][q][0], out) for (p, q), (score, out) in states.items()]
-        return max(ends)[1]
+            states, before = after, before if gap else sign
+        out = max(((score + (self.table[p][q][0] if q else 0.0), out) for (p, q), (score, out) in states.items()), key=lambda x: x[0])[1]
+        letters = []
+        while out:
+            out, c = out
+            letters.append(c)
+        return "".join(reversed(letters))
 
 
 class Restorer:
@@ -84,8 +100,6 @@ class Restorer:
 
     def _read(self, m: re.Match) -> str:
         text = m[0]
-        if m.re is _SPACED:
-            text = text.replace(m[1], "")
         known = self.cache.get(text)
         if known is None:
             if len(self.cache) > 100_000:
@@ -99,19 +113,22 @@ class Restorer:
         return text
 
 
-_LETTER = kernel.byte_set((0x61, 0x7A))
+_LETTER = kernel.byte_set((0x61, 0x7A), (0x80, 0xFF))
 _SIGN = kernel.byte_set(*[(ord(c), ord(c)) for c in LOOKALIKES])
-_GAP = kernel.byte_set(*[(ord(c), ord(c)) for c in " .-_*"])
-_WORD = kernel.byte_set((0x30, 0x39), (0x61, 0x7A))
+_GAP = kernel.byte_set(*[(ord(c), ord(c)) for c in _GAPS])
+_WORD = _LETTER | _SIGN | kernel.byte_set((0x30, 0x39))
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents of a slice of lower-cased bytes that may hold an obfuscated word."""
+    lead = (data & 0xC0) != 0x80  # a letter of several bytes counts as its first
+    data, offsets = data[lead], np.concatenate(([0], np.cumsum(lead)))[offsets]
     letter, sign, gap, word = _LETTER[data], _SIGN[data], _GAP[data], _WORD[data]
     hit = np.zeros(len(data), bool)
-    if len(data) > 4:
+    if len(data) > 2:
         hit[1:] |= (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
         hit[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    if len(data) > 4:
         hit[4:] |= word[4:] & gap[3:-1] & word[2:-2] & gap[1:-3] & word[:-4]
     sums = np.concatenate(([0], np.cumsum(hit)))
     return np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]])

@@ -192,6 +192,27 @@ def test_op5_learns_and_restores(spark, docs, empty):
     assert {r.predicted for r in toxicity.score(docs, known.where("false")).collect()} == {0}
 
 
+def test_op5_reads_each_mix_of_spacing_signs_and_repeats():
+    plain = "the blorgy river was a mörder and the shity garden window bridge morning then there " * 50
+    codes = [int(toxicity._CODE[x]) for x in (plain.encode("latin-1"))]
+    codes = [0, 0, *[27 if c == "ö" else x for c, x in zip(plain, codes, strict=True)], 0, 0]
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    for x, y, z in zip(codes, codes[1:], codes[2:], strict=False):
+        counts[((x if y else 0) * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z] += 1
+    read = toxicity.Restorer(toxicity.Model(counts))
+    want = {
+        "the b l o r g y river": "the blorgy river", "the b l 0 r g y river": "the blorgy river", "b.l-o r_g*y": "blorgy",
+        "b l 0 0 0 r 9 y": "blorgy", "s h ! t y": "shity", "bl000rgy": "blorgy", "bloooorgy": "blorgy", "blorgy!": "blorgy!", "blorgy!!": "blorgy!!",
+        "mörd3r": "mörder", "m ö r d 3 r": "mörder", "möööörder": "mörder", "blorgyyyyyyyyyyyyyyyyyyyyyyyyyyyyy0": None,
+    }
+    got = {x: read(x) for x in want}
+    assert {x: got[x] for x, y in want.items() if y} == {x: y for x, y in want.items() if y}
+    assert len(got["blorgyyyyyyyyyyyyyyyyyyyyyyyyyyyyy0"]) < 12
+    for x in ("b l 0 r g y", "m ö 3"):
+        data = np.frombuffer(x.encode(), np.uint8)
+        assert toxicity.suspicious(data, np.array([0, len(data)])).tolist() == [0]
+
+
 def test_op6_base_spans_and_disclosure(spark, docs, rows, empty):
     line = "write to zorgon@mail.example please quixotic"
     extra = [(900 + i, f"{line} tail{i}\nplease write") for i in range(3)] + [(950 + i, "please write to tail") for i in range(40)]
