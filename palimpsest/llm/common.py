@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share; a local one only on a local master whose session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def named(name: str) -> Column:
+    """A column by its plain name, whatever signs it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that no name clashes with another."""
+    return df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and outlive lost executors."""
 
@@ -48,6 +62,34 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Slots for each value asked for, and the most slots there are (a table of 16 MB).
+SLOTS_EACH, MOST_SLOTS = 16, 1 << 27
+
+
+def slot_table(values: DataFrame, col: str) -> tuple[Broadcast, int]:
+    """Which of n slots (value mod n) are asked for, as packed bits on all executors, and n.
+
+    A first sieve before a join on values: of bounded size whatever their number; beyond the bound it
+    lets more rows pass, never fewer.
+    """
+    spark = values.sparkSession
+    n, most = 1 << 15, min(MOST_SLOTS, SLOTS_EACH * values.count())
+    while n < most:
+        n *= 2
+    slot = values.select((F.pmod(F.col(col), F.lit(n)) + 1).alias("slot"))
+    bits = slot.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    table = np.zeros(n // 8, np.uint8)
+    for part, own in bits.collect():  # n bits in all
+        table[(part - 1) * 4096 : part * 4096] = np.frombuffer(own, np.uint8)
+    return spark.sparkContext.broadcast(table), n
+
+
+def asked(table: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """Which of the values (int64) may have been asked for."""
+    slot = values % n  # of a floor, as pmod
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def cut_points(df: DataFrame, col: str, buckets: int) -> list[int]:
     """At most buckets - 1 ascending values that deal the rows' ids out about evenly."""
     at = [i / buckets for i in range(1, buckets)]

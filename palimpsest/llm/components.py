@@ -9,107 +9,130 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Scratch
 
+#: In a bucket of up to so many nodes all pairs are compared.
+FEW = 8
 
-def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components of an undirected graph: (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps until the edges stay the same; each step is two
-    aggregations that combine before the shuffle and one join, so a hub costs a join that can
-    be split, never one task's list. Edges: (a, b), longs. Loops and repeats are harmless.
+def star_step(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """One large-star and one small-star step on edges (a, b), a > b: the same components, nearer to stars.
+
+    Each is an aggregation that combines before the shuffle and one join, so a hub costs a join that
+    can be split, never one task's list.
     """
-    edges = scratch.keep(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # large star: a node's larger neighbours move to its smallest neighbour
+    large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = scratch.keep(large.where("a <> b").distinct(), "large")
+    # small star: a node's smaller neighbours, itself too, move to the smallest of them
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    after = scratch.keep(small.where("a <> b").distinct(), "small")
+    scratch.drop(large)
+    return after
+
+
+def downward(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of any order, loops and repeats among them, as a > b."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, component): the lowest neighbour below each node that has one. Of the same label only if connected."""
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def converge(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Star steps on edges (a, b), a > b, until they stay the same: each node to the smallest of its component."""
     seen = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: a node's larger neighbours move to its smallest neighbour
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.keep(large.where("a <> b").distinct(), "large")
-        # small star: a node's smaller neighbours, itself too, move to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select("a", F.col("m").alias("b"))
-        )
-        after = scratch.keep(small.where("a <> b").distinct(), "small")
-        now = after.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(edges)
-        scratch.drop(large)
-        edges = after
+        edges = star_step(edges, scratch)
+        now = edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
-            break
+            return edges
         seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+
+
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of an undirected graph: (node, component), component the smallest node.
+
+    Edges: (a, b), longs. Loops and repeats are harmless.
+    """
+    edges = converge(scratch.keep(downward(edges).distinct(), "edges"), scratch)
+    return labels(edges).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def often(members: DataFrame) -> DataFrame:
+    """Rows of buckets that have several rows, or share a short hash with such: what a narrow count can tell."""
+    seen = members.groupBy(F.hash("bucket").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
+    return members.withColumn("h", F.hash("bucket")).join(seen.select("h"), "h").drop("h")
 
 
 def link_buckets(
-    members: DataFrame,
+    deal: Callable[[int, DataFrame | None, DataFrame | None], DataFrame],
+    nodes: DataFrame,
     may_link: Callable[[str, str], str],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    stars: int = 2,
-    tighten: Callable[[DataFrame], DataFrame] | None = None,
-    may_still_link: Callable[[str, str], str] = lambda x, y: "true",
+    rounds: int = 2,
+    few: int = FEW,
+    last: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the nodes that verified links join: (node, component) for linked nodes.
 
-    members: (bucket, rank, node, x), distinct, x a struct of what may_link looks at; only nodes
-    that share a bucket can be linked.
+    deal: for a round, the components so far (None at first) and the open rows of the round before
+    (bucket, node, c), the rows (bucket, node, c) with c the node's component, itself if it has none;
+    rows may repeat. Only nodes that share a bucket of the last round can be linked; earlier rounds
+    may deal fewer buckets.
+    nodes: (node, rank, x), x a struct of what may_link looks at.
     may_link: the SQL condition on two such structs that a pair meets to be a candidate at all; it
     is part of the join, so other pairs are never made.
     verify: takes distinct pairs (a, b) and returns those that are links.
 
-    A round links each bucket's lowest-ranked node to the others. A bucket whose nodes are all in
-    one component then needs no more pairs: they cannot change the result. After the given number
-    of such rounds, the buckets that still hold several components compare all pairs of nodes of
-    different components, so no link is lost, and no pairs are made within a component; rounds end
-early only when no bucket holds several components. For these
-    nodes alone, tighten may give (node, z) with more to look at, for may_still_link on two z: that
-    keeps a large bucket from comparing many nodes that cannot reach any of the others.
+    A bucket whose nodes are all in one component needs no pairs: they cannot change the result. Of
+    the others, those with up to `few` nodes compare all of these, a bounded number for a row; in a
+    larger one a round compares the lowest-ranked node with the others. Larger buckets that hold
+    several components after all rounds go to `last`, which gets their rows (bucket, node, x, c) and
+    returns candidates (a, b) without all pairs of a bucket; without it, nodes of different
+    components in a bucket are compared under may_link. So no link is lost.
     """
-    links = component = None
-    done = None
-    for step in range(stars + 1):
-        if component is None:
-            state = members.withColumn("c", F.col("node"))
+    edges = component = rest = None
+    for step in range(rounds + 1):
+        if step < rounds:
+            state = scratch.keep(often(deal(step, component, rest)), "dealt")
+            open_ = state.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+            # rows of open buckets are few beside all rows: only these meet what the condition looks at
+            rest = scratch.keep(state.join(open_, "bucket").distinct(), "open")
         else:
-            state = members.join(component, "node", "left").select(
-                "bucket", "rank", "node", "x", F.coalesce("component", "node").alias("c")
-            )
-        # the centre: the lowest rank at first, later the lowest by a hash of the round
-        rank = F.col("rank") if not step else F.xxhash64("node", F.lit(step))
-        open_ = state.groupBy("bucket").agg(
-            F.min("c").alias("low"), F.max("c").alias("high"),
-            F.min(F.struct(rank.alias("rank"), "node", "x", "c")).alias("top"),
-        ).where("low <> high")
-        if step < stars:
-            centre = open_.select("bucket", F.col("top.node").alias("b"), F.col("top.x").alias("y"), F.col("top.c").alias("d"))
-            pairs = state.join(centre, "bucket").where("c <> d")
+            if edges is not None:
+                edges = converge(edges, scratch)
+                component = scratch.keep(labels(edges), "labels")
+                rest = rest.drop("c").join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+            open_ = rest.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where(f"low <> high and n > {few}")
+            rest = scratch.keep(rest.select("bucket", "node", "c").join(open_.select("bucket"), "bucket"), "open")
+        if rest.isEmpty():
+            if step < rounds - 1:
+                continue  # the next round deals other buckets
+            break
+        if step == rounds and last is not None:
+            pairs = last(rest.join(nodes, "node").select("bucket", "node", "x", "c"))
         else:
-            rest = scratch.keep(state.join(open_.select("bucket"), "bucket"), "open")
-            if tighten is None:
-                rest = rest.withColumn("z", F.lit(None))
-            else:
-                rest = rest.join(scratch.keep(tighten(rest.select("node").distinct()), "tight"), "node")
-            other = rest.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("z").alias("w"), F.col("c").alias("d"))
-            pairs = rest.join(other, "bucket").where("c < d").where(may_still_link("z", "w"))
-        pairs = pairs.where(may_link("x", "y")).select(F.col("node").alias("a"), "b")
+            full = scratch.keep(rest.join(nodes, "node").select("bucket", "node", "rank", "x", "c"), "members")
+            # the centre: the lowest rank at first, later the lowest by a hash of the round
+            rank = F.col("rank") if not step else F.xxhash64("node", F.lit(step))
+            by = full.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "node")).alias("top"))
+            partner = full.join(by, "bucket").where("true" if step == rounds else f"n <= {few} or node = top.node")
+            partner = partner.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("c").alias("d"), F.lit(step == rounds).alias("all") | (F.col("n") <= few))
+            partner = partner.toDF("bucket", "b", "y", "d", "every")
+            pairs = full.join(partner, "bucket").where("if(every, c < d, c <> d)").where(may_link("x", "y")).select(F.col("node").alias("a"), "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
         if pairs.isEmpty():
-            # no centre has a new candidate; other members of a bucket may still have some
-            if step == stars or open_.isEmpty():
-                break
-            continue
-        done = pairs if done is None else done.unionByName(pairs)
-        found = scratch.keep(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        component = scratch.keep(connected(links, scratch), "component")
-    if component is None:
-        component = members.select("node", F.col("node").alias("component")).limit(0)
-    return component
+            continue  # no centre has a new candidate; other members of a bucket may still have some
+        found = downward(verify(pairs)).distinct()
+        edges = star_step(scratch.keep(found if edges is None else edges.unionByName(found), "links"), scratch)
+        # not the whole components yet, but the same label only within one
+        component = scratch.keep(labels(edges), "labels")
+    if edges is None:
+        return nodes.select("node", F.col("node").alias("component")).limit(0)
+    return scratch.keep(connected(edges, scratch), "component")

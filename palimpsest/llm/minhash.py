@@ -1,19 +1,23 @@
 """Near-duplicate documents: banded MinHash candidates, Bayesian pruning, exact verification.
 
-1. Each document's set of word shingles is hashed in numpy and signed by MinHash. Documents with
-   equal sets are one class, so copies never meet each other.
-2. Classes that share a band meet in its bucket (see components.link_buckets: stars first, then
-   whatever may still join two components, so a large group of near copies makes few pairs).
-   Set sizes and the lowest bits of the signatures, compared within that join, rule most pairs out.
-3. Signatures of candidates are compared batch by batch. After each batch the posterior chance,
-   from a uniform prior, that the similarity reaches the threshold is bounded below by `miss`:
-   beneath it, the pair is given up.
-   In the last comparisons (see link_buckets) a pair also goes when the shingles that either has in
-   common with any other document left are too few: no intersection holds more.
-4. Survivors are confirmed on full shingle sets.
+1. Each document's set of word shingles is hashed in numpy and signed by MinHash. Documents of equal
+   sets (by 128 bits of a hash) are one class, so copies never meet each other.
+2. Classes that share a band meet in its bucket (see components.link_buckets). The first round deals
+   FIRST bands only, which link most of what is near; later rounds deal all bands, but look only at
+   buckets that still hold several components, so a large group of near copies makes few pairs.
+   Set sizes and low bits of the signatures, compared within the join, rule most pairs out.
+3. Large buckets that still hold several components after that are not compared in pairs: their
+   documents are joined on the shingles of their prefixes, the rarest ones of each set. Two sets of
+   similarity t share one of the first (1 - t) n + 1 shingles in any common order, and the places of
+   the first one bound what they share, so this is exact, and a document with many shingles of its
+   own meets no one.
+4. Signatures of candidates are compared batch by batch. After each batch the posterior chance,
+   from a uniform prior, that the similarity reaches the threshold is bounded: below `miss` the pair
+   is given up.
+5. Survivors are confirmed on full shingle sets.
 
 A pair at the threshold itself misses all bands with a chance under 3e-5 at the defaults, and is
-pruned with a chance of `miss`.
+pruned, by low bits or batches, with a chance of `miss` each.
 """
 
 from __future__ import annotations
@@ -25,16 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm import kernel
-from palimpsest.llm.common import Scratch
+from palimpsest.llm.common import Scratch, asked, named, slot_table
 from palimpsest.llm.components import link_buckets
 
-ROWS, BANDS, BATCH, SHINGLE = 5, 40, 80, 5
-#: Values of a signature; the bands take the first ones.
-TOTAL = 400
-#: Bits of each value that are compared within the join.
-PLANES = 2
+ROWS, BANDS, FIRST, BATCH, SHINGLE = 5, 40, 8, 40, 5
+#: Values of a signature, all of them in bands; each is kept as 16 bits.
+TOTAL = ROWS * BANDS
+#: Bits of each value that are compared within the join, and longs that hold one bit of all values.
+PLANES, WORDS = 2, -(-TOTAL // 64)
 MISS = 1e-5
 #: All but white space of ASCII.
 WORD_BYTES = ~kernel.byte_set((0x20, 0x20), (0x09, 0x0D))
@@ -58,20 +63,17 @@ def shingle_hashes(words: kernel.Words, k: int = SHINGLE) -> tuple[np.ndarray, n
     return words.grams(starts, np.repeat(np.minimum(n, k), counts)), bounds
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """MinHash of each document, uint32; documents without shingles get the largest value."""
-    out = np.full((len(bounds) - 1, n), 0xFFFFFFFF, np.uint32)
+def signatures(hashes: np.ndarray, bounds: np.ndarray, n: int = TOTAL) -> np.ndarray:
+    """MinHash of each document, 16 bits a value; documents without shingles get the largest value."""
+    out = np.full((len(bounds) - 1, n), 0xFFFF, np.uint16)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         at = bounds[:-1][full]
         for i, (a, b) in enumerate(zip(*_permutations(n), strict=True)):
-            out[full, i] = np.minimum.reduceat(((hashes * a + b) >> np.uint64(32)).astype(np.uint32), at)
+            out[full, i] = np.minimum.reduceat(hashes * a + b, at) >> np.uint64(8)
     return out
 
 
-WORDS = -(-TOTAL // 64)
-
-
 def low_bits(sig: np.ndarray) -> np.ndarray:
     """The lowest PLANES bits of each signature value: per document PLANES times WORDS packed longs."""
     flags = np.zeros((len(sig), PLANES, WORDS * 64), np.uint8)
@@ -95,40 +97,43 @@ def most_unequal(threshold: float, total: int = TOTAL, miss: float = MISS) -> in
     return 0
 
 
-SIGNED = "doc_id long, n_shingles long, node long, sig binary, bands array<long>, bits array<long>"
+SIGNED = "doc_id long, key long, n_shingles long, node long, check long, sig binary, low array<long>"
 
 
-def sign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: set size, hashes of the set, signature, and hashes of the bands."""
+def sign(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text) with the set's size, two hashes of the set, the signature and low bits of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in kernel.slices(batch.column(1)):
+            for low, high, data, offsets in kernel.slices(batch.column(2)):
                 words = kernel.Words(data, offsets, WORD_BYTES)
                 hashes, bounds = shingle_hashes(words)
-                size, node = np.zeros(high - low, np.int64), np.zeros(high - low, np.uint64)
+                size, node, check = (np.zeros(high - low, x) for x in (np.int64, np.uint64, np.uint64))
                 for d in range(high - low):
                     own = np.unique(hashes[bounds[d] : bounds[d + 1]])
-                    size[d] = len(own)
-                    node[d] = np.add.reduce(kernel.mix(own))
-                sig = signatures(hashes, bounds, TOTAL)
-                key = kernel.prefix_sums(sig[:, : ROWS * BANDS].reshape(-1).astype(np.uint64) + np.uint64(1))
-                start = np.arange(0, len(key) - 1, ROWS)
-                band = kernel.mix(kernel.window_hash(key, start, start + ROWS) ^ np.tile(np.arange(BANDS, dtype=np.uint64), high - low))
-                node = kernel.mix(node ^ size.astype(np.uint64))
+                    mixed = kernel.mix(own)
+                    size[d], node[d], check[d] = len(own), np.add.reduce(mixed), np.add.reduce(kernel.mix(mixed))
+                node, check = kernel.mix(node ^ size.astype(np.uint64)), kernel.mix(check)
+                sig = signatures(hashes, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[low:high],
+                        batch.column(1)[low:high],
                         pa.array(size),
                         pa.array(kernel.signed(node)),
+                        pa.array(kernel.signed(check)),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
-                        pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * BANDS, pa.array(kernel.signed(band))),
-                        pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * WORDS * PLANES, pa.array(low_bits(sig))),
+                        pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * (PLANES * WORDS), pa.array(low_bits(sig))),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sig", "bands", "bits"],
+                    names=["doc_id", "key", "n_shingles", "node", "check", "sig", "low"],
                 )
 
-    return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
+    return docs.mapInArrow(run, SIGNED)
+
+
+def bands(n: int) -> str:
+    """SQL: the buckets of a signature's first n bands."""
+    return f"transform(sequence(0, {n - 1}), i -> xxhash64(i, substring(sig, i * {2 * ROWS} + 1, {2 * ROWS})))"
 
 
 def least_matches(threshold: float, batch: int = BATCH, total: int = TOTAL, miss: float = MISS) -> list[int]:
@@ -160,7 +165,7 @@ def prune(pairs: DataFrame, threshold: float, total: int = TOTAL) -> DataFrame:
         for batch in batches:
             at = np.arange(batch.num_rows)
             left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, total) for i in (2, 3)
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, total) for i in (2, 3)
             )
             equal = np.zeros(batch.num_rows, np.int64)
             for i, fewest in enumerate(least):
@@ -199,6 +204,21 @@ def confirm(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def some_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of (node, doc_id, key): one text of each class, of (doc_id, key, text)."""
+    table, n = slot_table(wanted, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = asked(table.value, n, batch.column(1).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(hit))
+
+    rows = docs.mapInArrow(run, "doc_id long, key long, text string")
+    met = rows.withColumnRenamed("doc_id", "id").join(wanted, "key").where("id <=> doc_id")
+    # rows of equal id and key are copies of one text
+    return met.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def shingle_rows(texts: DataFrame) -> DataFrame:
     """(node, shingle) for each distinct shingle of (node, text)."""
 
@@ -206,14 +226,39 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for low, high, data, offsets in kernel.slices(batch.column(1)):
                 hashes, bounds = shingle_hashes(kernel.Words(data, offsets, WORD_BYTES))
-                for d in range(high - low):
-                    own = np.unique(hashes[bounds[d] : bounds[d + 1]])
-                    node = pa.array(np.full(len(own), batch.column(0)[low + d].as_py()))
-                    yield pa.RecordBatch.from_arrays([node, pa.array(kernel.signed(own))], names=["node", "shingle"])
+                own = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                node = np.repeat(batch.column(0)[low:high].to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(kernel.signed(np.concatenate(own)))], names=["node", "shingle"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, shingle long")
 
 
+def prefixes(texts: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, shingle, at): of each set the rarest shingles, one of which any two sets of the similarity share.
+
+    at: the place in the set, from 1, by how many of the nodes have the shingle, then its hash. Shingles
+    that no other has come first in that order and meet nothing; a node with so many of them that no
+    intersection can be large enough has no rows.
+    """
+    rows = scratch.keep(shingle_rows(texts), "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    met = scratch.keep(rows.join(common, "shingle"), "common")
+    room = sizes.join(met.groupBy("node").agg(F.count("*").alias("s")), "node").select(
+        "node", F.expr("n - s").alias("own"), F.expr(f"floor(n * {100 - percent} / 100) + 1").alias("last")
+    ).where("own < last")
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
+    placed = met.join(room, "node").select("node", "shingle", "last", (F.col("own") + turn).alias("at"))
+    return placed.where("at <= last").select("node", "shingle", "at")
+
+
+def may_be_first(percent: int) -> str:
+    """SQL: whether a shingle at places i and j of sets of n and m can be the first that two linked sets share.
+
+    What else they share comes later in both, so the places bound the intersection.
+    """
+    return f"{100 + percent} * (1 + least(n - i, m - j)) >= {percent} * (n + m)"
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75
 ) -> DataFrame:
@@ -221,68 +266,99 @@ def near_duplicates(
 
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets.
     component_id is the smallest doc_id of those reachable by links. Null and wordless texts have
-    no shingles and stay alone. Repeated rows count as copies. A null doc_id never names a
-    component; a row whose component has no other id gets a null component and is kept.
-    Other columns are not read.
+    no shingles and stay alone. Repeated rows count as copies; one id with several texts links as
+    several documents. A null doc_id never names a component but links like any other; a row whose
+    component has no other id gets a null component and is kept. Other columns are not read.
+    """
+    return components(documents, id_col, text_col, percent).drop("key", "first")
+
+
+def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """near_duplicates() with key (a hash of the text) and first: whether this id and text come first in the component.
+
+    Of a component the rows of the smallest id and, among these, the smallest key are first; ids that
+    are null come last. A document without shingles is first.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(
+        named(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(named(text_col)), F.lit(0)).alias("key"), named(text_col).alias("text")
+    )
     signed = scratch.keep(sign(docs), "signed")
-    some = signed.where("n_shingles > 0")
+    same = ["node", "check"]
+    top = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "key", "doc_id")
     classes = scratch.keep(
-        some.groupBy("node").agg(
-            F.min("doc_id").alias("rank"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig"),
-            F.min("bands").alias("bands"), F.min("bits").alias("bits"),
+        signed.where("n_shingles > 0").groupBy(*same).agg(
+            F.min(top).alias("top"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")
         ),
         "classes",
-    )
-    members = classes.select(F.explode("bands").alias("bucket"), F.coalesce("rank", F.lit(2**62)).alias("rank"), "node")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("x")).where("n > 1").select("bucket")
-    looks = classes.select("node", F.struct("n", "bits").alias("x"))
-    members = scratch.keep(members.join(shared, "bucket").join(looks, "node").select("bucket", "rank", "node", "x"), "members")
+    )
+    nodes = classes.select("node", F.col("top.id").alias("rank"), F.struct("n", "low").alias("x"))
+
+    def deal(step: int, component: DataFrame | None, _: DataFrame | None) -> DataFrame:
+        own = classes.select("node", "sig")
+        if component is not None:
+            own = own.join(component, "node", "left")
+        c = F.col("node") if component is None else F.coalesce("component", "node")
+        return own.select(F.expr(f"explode({bands(BANDS if step else FIRST)})").alias("bucket"), "node", c.alias("c"))
+
     unequal = most_unequal(percent / 100)
 
     def may_link(x: str, y: str) -> str:
-        unlike = lambda i: " | ".join(f"({x}.bits[{i + j * WORDS}] ^ {y}.bits[{i + j * WORDS}])" for j in range(PLANES))
+        unlike = lambda i: " | ".join(f"({x}.low[{i + j * WORDS}] ^ {y}.low[{i + j * WORDS}])" for j in range(PLANES))
         bits = " + ".join(f"bit_count({unlike(i)})" for i in range(WORDS))
         return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {bits} <= {unequal}"
 
-    # one text of each class that has a candidate, for the exact check
-    chosen = signed.where("n_shingles > 0").join(
-        members.select("node").distinct(), "node", "left_semi"
-    ).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = scratch.keep(
-        chosen.where("doc_id is not null").join(docs.where("text is not null"), "doc_id").groupBy("node").agg(F.min("text").alias("text")), "texts"
-    )
-
-    def tighten(nodes: DataFrame) -> DataFrame:
-        """How many shingles of a node any other of the nodes has: no intersection is larger."""
-        rows = scratch.keep(shingle_rows(texts.join(nodes, "node")), "shingles")
-        common = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-        found = rows.join(common.select("shingle"), "shingle").groupBy("node").agg(F.count("*").alias("s"))
-        found = classes.select("node", "n").join(found, "node")
-        return found.where(f"100 * s >= {percent} * n").select("node", F.struct("n", "s").alias("z"))
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        chosen = scratch.keep(classes.select("node", "top.doc_id", "top.key").join(wanted, "node", "left_semi"), "chosen")
+        return scratch.keep(some_texts(docs, chosen), "texts")
 
-    def may_still_link(z: str, w: str) -> str:
-        return f"{100 + percent} * least({z}.s, {w}.s) >= {percent} * ({z}.n + {w}.n)"
+    def rare_pairs(rest: DataFrame) -> DataFrame:
+        """Pairs of nodes of different components that share a shingle of their prefixes."""
+        left = scratch.keep(rest.select("node", "x", "c").dropDuplicates(["node"]), "rest")
+        own = prefixes(texts_of(left.select("node")), left.select("node", "x.n"), percent, scratch)
+        own = scratch.keep(own.join(left, "node").select("shingle", "node", "x", "c", F.col("at").alias("i"), "x.n"), "prefixes")
+        other = own.toDF("shingle", "b", "y", "d", "j", "m")
+        met = own.join(other, "shingle").where("c < d").where(may_be_first(percent)).where(may_link("x", "y"))
+        return met.select(F.col("node").alias("a"), "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
         two = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-        alive = prune(pairs.join(one, "a").join(two, "b"), percent / 100)
+        alive = scratch.keep(prune(pairs.join(one, "a").join(two, "b"), percent / 100), "alive")
+        texts = texts_of(alive.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return confirm(alive.join(left, "a").join(right, "b"), percent)
 
-    component = link_buckets(members, may_link, verify, scratch, tighten=tighten, may_still_link=may_still_link)
-    grouped = classes.select("node", "rank").join(component, "node", "left").select(
-        "node", "rank", F.coalesce("component", "node").alias("component")
-    )
-    smallest = grouped.groupBy("component").agg(F.min("rank").alias("component_id"))
-    named = scratch.keep(grouped.join(smallest, "component").select("node", "component_id"), "named")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    component = link_buckets(deal, nodes, may_link, verify, scratch, last=rare_pairs)
+    # a class without links is told by both hashes, so other classes never join it by chance
+    grouped = classes.select(*same, "top").join(component, "node", "left").select(
+        *same, "top", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("check")).alias("alone")
     )
+    smallest = grouped.groupBy("component", "alone").agg(F.min("top").alias("least"))
+    named_ = grouped.join(
+        smallest.withColumnsRenamed({"component": "c", "alone": "a"}), F.expr("component = c and alone <=> a")
+    ).select(*same, "least")
+    out = signed.select("doc_id", "key", "n_shingles", *same).join(scratch.keep(named_, "named"), same, "left")
+    empty = F.col("n_shingles") == 0
+    return out.select(
+        "doc_id", "key", "n_shingles",
+        F.when(empty, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        (empty | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))).alias("first"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """Of each group of near-duplicates one document stays, the one that comes first; see components().
+
+    All columns are kept. A document is an id and a text, so of one id with two texts each has its own
+    say; of rows that repeat both, one stays.
+    """
+    key = [named(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(named(text_col)), F.lit(0)).alias("key")]
+    first = components(documents, id_col, text_col, percent).where("first").select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key"))
+    rows = documents.select(F.struct(*map(named, documents.columns)).alias("row"), *key)
+    left = rows.join(first.distinct(), F.expr("id <=> first_id and key = first_key"), "left_semi")
+    if not documents.select(*key).groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        left = left.dropDuplicates(["id", "key"])
+    return left.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
