@@ -1,16 +1,17 @@
-"""Fuzzy line deduplication: shared windows as buckets, verified by edit distance.
+"""Fuzzy line deduplication: SimHash of normalised lines, buckets, and edit similarity.
 
 A line is normalised to its words (letters and digits, A-Z lower-cased, each digit a 0) with single
 spaces. Lines of equal normal form are one class. Two classes are linked when the edit distance of
-the normal forms is at most 1 - SIMILARITY of the longer one. Candidates share one of MINIMA values
-of a MinHash of their byte windows, of a width that goes with the length (TIERS overlap, so two lines
-that can be linked always share a tier). A pair is missed only if all of these values differ. Counts
-of letters, which an edit moves by at most 2, leave out pairs that cannot be linked.
+the normal forms is at most 1 - SIMILARITY of the longer one. A candidate pair shares a bucket
+and, unless a line has at most SHORT characters, has 64-bit SimHash values, over words, at most
+DISTANCE bits apart.
 
-With bits given, a link must also have 64-bit SimHash values of words at most so many bits apart,
-which leaves out most lines with an edited word; the queries do not use it. By the pigeonhole
-principle two values that close agree on all bits of at least BLOCKS - bits of BLOCKS blocks, so
-each value is dealt by every choice of so many blocks, and no such link is missed.
+Buckets are not blocks of the SimHash: the links need a DISTANCE of 14 (see the README for recall by
+distance), and of 15 blocks of 64 bits one that agrees has 4 bits, which nearly all lines share.
+Instead each of BANDS buckets takes the least values of VALUES hashes of a line's pairs of words, in
+lines of up to SHORT characters of its windows of WIDTH bytes; an edit that leaves the lines similar
+leaves one of them, nearly always. Lines of LONG to SHORT characters, which may be linked to either,
+have both.
 
 Of each connected group the first occurrence stays, by document id, then line. Lines without a word
 are no one's copies and always stay.
@@ -19,7 +20,6 @@ are no one's copies and always stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel
-from palimpsest.llm.common import Scratch
+from palimpsest.llm.common import Scratch, asked, named, slot_table
 from palimpsest.llm.components import link_buckets
 
-DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
+DISTANCE, SIMILARITY = 14, 0.9
+#: Buckets of a line, and least values in each.
+BANDS, VALUES = 10, 3
+LONG, SHORT, WIDTH = 54, 60, 4
 WORD_BYTES = kernel.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
-#: (least, most characters of a line, bytes of a window); lines that may be linked share a tier.
-TIERS = ((9, 44, 4), (40, 110, 8), (100, 1 << 40, 12))
-#: Values of the MinHash of a line's windows; each is a bucket.
-MINIMA = 24
-_FACTORS = kernel.mix(np.arange(MINIMA, dtype=np.uint64)) | np.uint64(1)
-#: Characters are counted in so many groups by their first byte, each count up to 255.
-GROUPS = 8
-#: Slots of the table that tells which lines' texts are asked for; a full one only costs time.
-SLOTS = 1 << 20
+_FACTORS = kernel.mix(np.arange(BANDS * VALUES, dtype=np.uint64)) | np.uint64(1)
 _NORMAL = kernel.LOWER.copy()
 _NORMAL[0x30:0x3A] = 0x30
-CUTS = np.array([round(64 * i / BLOCKS) for i in range(BLOCKS + 1)])
 
 
 class Lines:
@@ -73,14 +67,14 @@ class Lines:
 
     def simhash(self) -> np.ndarray:
         """Of the lines with words: each bit as most of the words' hashes have it."""
-        out = np.zeros((len(self.some), 64), np.int32)
+        out, step = np.zeros(len(self.some), np.uint64), 1 << 12
         low, high = self.words.first[:-1][self.some], self.words.first[1:][self.some]
-        step = 1 << 15
         for at in range(0, len(self.some), step):
             a, b = low[at : at + step], high[at : at + step]
             bits = np.unpackbits(self.words.hash[a[0] : b[-1]].view(np.uint8).reshape(-1, 8), axis=1)
-            out[at : at + step] = np.add.reduceat(bits, a - a[0], axis=0, dtype=np.int32)
-        return np.packbits(2 * out > (high - low)[:, None], axis=1).view(np.uint64).reshape(-1)
+            sums = np.add.reduceat(bits, a - a[0], axis=0, dtype=np.int32)
+            out[at : at + step] = np.packbits(2 * sums > (b - a)[:, None], axis=1).view(np.uint64).reshape(-1)
+        return out
 
     def normal(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the normal forms of the lines with words, and where each starts and the last ends."""
@@ -93,186 +87,207 @@ class Lines:
         sums = np.concatenate(([0], np.cumsum(keep)))
         return data[keep], np.append(sums[w.start[w.first[:-1][self.some]]], sums[-1])
 
-    def letters(self) -> np.ndarray:
-        """Of the lines with words: how many characters of each group there are, one byte a count."""
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """(index into some, bucket), BANDS for each line, or twice as many; by line."""
+        length = self.lengths()
+        words = np.flatnonzero(length >= LONG)
+        low, n = self.words.first[:-1][self.some[words]], np.diff(self.words.first)[self.some[words]]
+        some = np.maximum(n - 1, 1)
+        grams = self.words.grams(kernel.ranges(low, some), np.repeat(np.minimum(n, 2), some))
+        kinds = [(words, grams, some)]
+        short = np.flatnonzero(length <= SHORT)
         data, at = self.normal()
-        line = np.repeat(np.arange(len(self.some)), np.diff(at))
-        lead = (data & 0xC0) != 0x80
-        counts = np.bincount(line[lead] * GROUPS + data[lead] % GROUPS, minlength=GROUPS * len(self.some))
-        return np.minimum(counts, 255).astype(np.uint8).view(np.uint64)
-
-    def minima(self) -> tuple[np.ndarray, np.ndarray]:
-        """(index into some, bucket): the least values of the windows of each line, for each of its tiers."""
-        data, at = self.normal()
-        sums, length = kernel.prefix_sums(kernel._SYMBOL[data]), self.lengths()
+        n = at[short + 1] - at[short]
+        some, sums = np.maximum(n - (WIDTH - 1), 1), kernel.prefix_sums(kernel._SYMBOL[data])
+        start = kernel.ranges(at[short], some)
+        kinds.append((short, kernel.window_hash(sums, start, start + np.repeat(np.minimum(n, WIDTH), some)), some))
         lines, found = [], []
-        for tier, (low, high, width) in enumerate(TIERS):
-            own = np.flatnonzero((length >= low) & (length <= high))
+        for kind, (own, values, some) in enumerate(kinds):
             if not len(own):
                 continue
-            n = np.maximum(at[own + 1] - at[own] - (width - 1), 1)
-            start = kernel.ranges(at[own], n)
-            value = kernel.window_hash(sums, start, start + width)
-            first = np.cumsum(n) - n
-            for i, factor in enumerate(_FACTORS):
-                least = np.minimum.reduceat(value * factor, first)
+            first = np.cumsum(some) - some
+            for band in range(BANDS):
+                key = np.full(len(own), kernel.mix(np.array([kind * BANDS + band], np.uint64))[0])
+                for factor in _FACTORS[band * VALUES : (band + 1) * VALUES]:
+                    key = kernel.mix(key ^ np.minimum.reduceat(values * factor, first))
                 lines.append(own)
-                found.append(kernel.mix(least ^ np.uint64(tier * MINIMA + i)))
+                found.append(key)
         if not lines:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate(lines), np.concatenate(found)
+        line, bucket = np.concatenate(lines), np.concatenate(found)
+        order = np.argsort(line, kind="stable")
+        return line[order], bucket[order]
 
     def text(self, i: int) -> bytes:
         w = self.words
         return b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(w.first[i], w.first[i + 1]))
 
 
-def sign(docs: DataFrame, simhash: bool = False) -> DataFrame:
-    """(doc_id, key, number, node, sketch, length) of each line with words of (doc_id, key, text).
+SIGNED = "doc_id long, key long, number long, node long, sketch long, length long, buckets array<long>"
 
-    sketch: the counts of letters, or the SimHash.
-    """
+
+def sign(docs: DataFrame) -> DataFrame:
+    """Each line with words of (doc_id, key, text); the buckets of a normal form come once in a slice, else none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in kernel.slices(batch.column(2)):
                 lines = Lines(data, offsets)
                 row = pa.array(lines.doc[lines.some])
+                own, bucket = lines.buckets()
+                once = np.zeros(len(lines.some), bool)
+                once[np.unique(lines.node, return_index=True)[1]] = True
+                bucket = bucket[once[own]]
+                bounds = np.concatenate(([0], np.cumsum(np.bincount(own, once[own], len(lines.some))))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[low:high].take(row),
                         batch.column(1)[low:high].take(row),
                         pa.array(lines.number[lines.some]),
                         pa.array(kernel.signed(lines.node)),
-                        pa.array(kernel.signed(lines.simhash() if simhash else lines.letters())),
+                        pa.array(kernel.signed(lines.simhash())),
                         pa.array(lines.lengths()),
+                        pa.ListArray.from_arrays(bounds, pa.array(kernel.signed(bucket))),
                     ],
-                    names=["doc_id", "key", "number", "node", "sketch", "length"],
+                    names=["doc_id", "key", "number", "node", "sketch", "length", "buckets"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, key long, number long, node long, sketch long, length long")
+    return docs.mapInArrow(run, SIGNED)
 
 
 def normal_forms(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line): the normal forms of some classes. A table of slots goes to the executors, of a fixed size."""
-    spark = docs.sparkSession
-    asked = np.zeros(SLOTS, bool)
-    for row in nodes.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toLocalIterator():
-        asked[row.slot] = True
-    table = spark.sparkContext.broadcast(asked)
+    """(node, line): the normal forms of some classes."""
+    table, n = slot_table(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in kernel.slices(batch.column(0)):
                 lines = Lines(data, offsets)
                 node, first = np.unique(kernel.signed(lines.node), return_index=True)
-                hit = table.value[node % SLOTS]
+                hit = asked(table.value, n, node)
                 texts = [lines.text(lines.some[i]).decode("utf-8", "replace") for i in first[hit].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(texts, pa.string())], names=["node", "line"])
 
-    found = docs.select("text").mapInArrow(run, "node long, line string").join(nodes, "node")
-    return found.groupBy("node").agg(F.min("line").alias("line"))
+    return docs.select("text").mapInArrow(run, "node long, line string").join(nodes, "node").groupBy("node").agg(F.first("line").alias("line"))
+
+
+def edits(a: str, b: str) -> int:
+    """The edit distance, by Myers' bit vectors over what is left between equal ends."""
+    same = 0
+    for x, y in zip(a, b):  # noqa: B905
+        if x != y:
+            break
+        same += 1
+    a, b, same = a[same:], b[same:], 0
+    for x, y in zip(reversed(a), reversed(b)):  # noqa: B905
+        if x != y:
+            break
+        same += 1
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    plus, minus, out = full, 0, len(a)
+    for y in b:
+        met = at.get(y, 0)
+        zero = (((met & plus) + plus) ^ plus) | met | minus
+        up, down = minus | ~(zero | plus) & full, plus & zero
+        out += (up >> top & 1) - (down >> top & 1)
+        up = up << 1 & full | 1
+        plus, minus = (down << 1 | ~(zero | up)) & full, up & zero
+    return out
 
 
-def deal(docs: DataFrame) -> DataFrame:
-    """(bucket, node) of the lines with words, once in a slice; rows may repeat."""
+def confirm(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, la, lb) of similar lines, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in kernel.slices(batch.column(0)):
-                lines = Lines(data, offsets)
-                own, bucket = lines.minima()
-                once = np.zeros(len(lines.some), bool)
-                once[np.unique(lines.node, return_index=True)[1]] = True
-                keep = once[own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kernel.signed(bucket[keep])), pa.array(kernel.signed(lines.node[own[keep]]))], names=["bucket", "node"]
-                )
-
-    return docs.select("text").mapInArrow(run, "bucket long, node long")
+            good = [
+                i
+                for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+                if edits(x, y) <= int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
+            ]
+            kept = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
 
-
-def _buckets(bits: int) -> list[str]:
-    """SQL: for each choice of blocks, a hash of the choice and the bits of its blocks."""
-    out = []
-    for i, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - bits)):
-        mask = sum(((1 << int(CUTS[b + 1] - CUTS[b])) - 1) << int(CUTS[b]) for b in chosen)
-        mask -= (1 << 64) if mask >= 1 << 63 else 0
-        out.append(f"xxhash64({i}, sketch & {mask}L)" if mask != -(1 << 63) else f"xxhash64({i}, sketch)")
-    return out
+    return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, bits: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, key, numbers): for each document of (doc_id, key, text) the lines that others stand for."""
-    lines = scratch.keep(sign(docs, bits is not None), "lines")
+    lines = scratch.keep(sign(docs), "lines")
+    same = ["node", "sketch", "length"]  # 64 bits of a hash, the SimHash and the length
     here = F.struct("doc_id", "key", "number")
-    classes = scratch.keep(
-        lines.groupBy("node").agg(
-            F.min("sketch").alias("sketch"), F.min("length").alias("length"), F.min(here).alias("first"), F.count("*").alias("n")
-        ),
-        "classes",
-    )
-    if bits is None:
-        dealt = deal(docs)
-    else:
-        dealt = classes.selectExpr(f"explode(array({', '.join(_buckets(bits))})) as bucket", "node")
-    dealt = dealt.repartition("bucket")
-    # of both columns, so that the two sides read one exchange
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    met = scratch.keep(dealt.join(shared, "bucket").distinct(), "met")
-    members = scratch.keep(
-        met.join(classes, "node").select("bucket", F.lit(0).alias("rank"), "node", F.struct("sketch", "length").alias("x")), "members"
-    )
+    classes = scratch.keep(lines.groupBy(*same).agg(F.min(here).alias("first"), F.count("*").alias("n")), "classes")
+    nodes = classes.select("node", F.lit(0).alias("rank"), F.struct("sketch", "length").alias("x"))
+    texts: list[DataFrame] = []
+
+    def deal(_: int, component: DataFrame | None, rest: DataFrame | None) -> DataFrame:
+        if rest is None:
+            return lines.select(F.explode("buckets").alias("bucket"), "node", F.col("node").alias("c"))
+        texts or texts.append(scratch.keep(normal_forms(docs, scratch.keep(rest.select("node").distinct(), "nodes")), "texts"))
+        if component is None:
+            return rest
+        return rest.drop("c").join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
 
     def may_link(x: str, y: str) -> str:
-        if bits is None:
-            apart = " + ".join(f"abs((({x}.sketch >> {8 * i}) & 255) - (({y}.sketch >> {8 * i}) & 255))" for i in range(GROUPS))
-            close = f"{apart} <= 2 * floor({1 - SIMILARITY:.6f} * greatest({x}.length, {y}.length) + 1e-9)"
-        else:
-            close = f"bit_count({x}.sketch ^ {y}.sketch) <= {bits}"
+        # a word is too much of a short line's SimHash
+        close = f"(bit_count({x}.sketch ^ {y}.sketch) <= {DISTANCE} or least({x}.length, {y}.length) <= {SHORT})"
         return f"{close} and least({x}.length, {y}.length) >= {SIMILARITY} * greatest({x}.length, {y}.length)"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = scratch.keep(normal_forms(docs, scratch.keep(nodes, "nodes")), "texts")
-        both = pairs.join(texts.selectExpr("node as a", "line as la"), "a").join(texts.selectExpr("node as b", "line as lb"), "b")
-        most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(char_length(la), char_length(lb)) + 1e-9) as int)"
-        return both.where(f"levenshtein(la, lb, {most}) >= 0").select("a", "b")
-
-    component = link_buckets(members, may_link, verify, scratch)
-    grouped = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    copies = scratch.keep(grouped.select("node", "component").join(counted, "component").select("node", "first"), "copies")
-    again = lines.join(copies, "node").where(
+        if not texts:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            known = scratch.keep(normal_forms(docs, scratch.keep(wanted, "nodes")), "texts")
+        else:
+            known = texts[0]
+        both = pairs.join(known.selectExpr("node as a", "line as la"), "a").join(known.selectExpr("node as b", "line as lb"), "b")
+        return confirm(both)
+
+    component = link_buckets(deal, nodes, may_link, verify, scratch)
+    # a class without links is told by all of `same`, so that others join it by no chance
+    grouped = classes.join(component, "node", "left").select(
+        *same, "first", "n", F.coalesce("component", "node").alias("c"),
+        *[F.when(F.col("component").isNull(), F.col(x)).otherwise(0).alias(f"own_{x}") for x in same[1:]],
+    )
+    group = ["c", "own_sketch", "own_length"]
+    counted = grouped.groupBy(*group).agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    copies = scratch.keep(grouped.select(*same, *group).join(counted, group).select(*same, "first"), "copies")
+    again = lines.select(*same, "doc_id", "key", "number").join(copies, same).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("number") == F.col("first.number")))
     )
     return again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.col("number").cast("int"))).alias("numbers"))
 
 
-def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = DISTANCE) -> DataFrame:
+def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with the text that is left, and removed_lines (array of line numbers from 0).
 
-    bits: see the module; None links lines by their edit distance alone. Columns named removed_lines in the input are replaced. Null and empty texts stay as they are.
-    Rows of equal id and text are one document and keep the same lines. Null ids come first.
+    A column named removed_lines in the input is replaced; any other name may occur. Null and empty
+    texts stay as they are. Rows of equal id and text are one document and keep the same lines; of
+    one id with several texts each is a document. Null ids come first, as one id.
     """
     scratch = Scratch(documents.sparkSession, "lines")
-    key = F.xxhash64(F.col(text_col))
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
-    gone = scratch.keep(repeated_lines(docs, scratch, bits), "gone").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("numbers").alias("__numbers")
-    )
-    rows = documents.drop("removed_lines").withColumn("__row_key", key)
-    out = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key")), "left")
-    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(__numbers, i)), '\\n')")
-    left = F.when(F.col("__numbers").isNull(), F.col(text_col)).otherwise(left)
-    return out.withColumn(text_col, left).withColumn("removed_lines", F.coalesce("__numbers", F.array().cast("array<int>"))).select(
-        *[c for c in documents.columns if c != "removed_lines"], "removed_lines"
+    id_, key = named(id_col).cast("long").alias("doc_id"), F.xxhash64(named(text_col)).alias("key")
+    docs = documents.select(id_, key, named(text_col).alias("text"))
+    gone = scratch.keep(repeated_lines(docs, scratch), "gone").withColumnsRenamed({"doc_id": "gone_id", "key": "gone_key"})
+    own = [c for c in documents.columns if c != "removed_lines"]
+    rows = documents.select(F.struct(*map(named, own)).alias("row"), id_, key, named(text_col).alias("text"))
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(numbers, i)), '\n')")
+    left = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(left)
+    return out.select(
+        *[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own],
+        F.coalesce("numbers", F.array().cast("array<int>")).alias("removed_lines"),
     )
 
 
-def report(documents: DataFrame, bits: int | None = DISTANCE) -> DataFrame:
+def report(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_removed, removed (line numbers, comma-joined), text_sha256 of the text left."""
-    done = deduplicate(documents.select("doc_id", "text"), bits=bits)
+    done = deduplicate(documents.select("doc_id", "text"))
     return done.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("removed_lines").cast("long").alias("n_removed"),
