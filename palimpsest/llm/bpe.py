@@ -23,6 +23,10 @@ from palimpsest.llm import kernel
 from palimpsest.llm.pretoken import Encoder
 
 
+#: Entries of a worker's table of token pairs that may follow each other; it starts anew when full.
+GOOD = 300_000
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary: bytes to id, the id also the rank of the merge."""
 
@@ -76,7 +80,7 @@ class Vocabulary:
         key = left * self.size + right
         known = self.good.get(key)
         if known is None:
-            if len(self.good) > 2_000_000:
+            if len(self.good) > GOOD:
                 self.good.clear()
             known = self.good[key] = self._apart(left, right)
         return known

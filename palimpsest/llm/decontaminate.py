@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel
+from palimpsest.llm.common import named, numbered
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -156,6 +158,38 @@ def _scan(docs: DataFrame, index) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """Indexes of the items' distinct (item_id, text), in blocks by the text of about block_bytes each."""
+    items = items.where("text is not null").distinct()
+    # the ids of one text come together, so that a text is sent once
+    texts = items.groupBy("text").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nameless"))
+    size = texts.agg(F.sum(F.octet_length("text") + 8 * F.size("ids"))).first()[0] or 0
+    blocks = -(-size // block_bytes) or 1
+    for i in range(blocks):
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).collect()
+        yield items.sparkSession.sparkContext.broadcast(Index([(x, r.text) for r in own for x in [*r.ids, *[None] * r.nameless]]))
+
+
+def without_hits(
+    documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of documents, all columns, that hold no window of an item; see find(). Ids are not read."""
+    items = benchmark.select(named(item_col).cast("long").alias("item_id"), named(item_text_col).alias("text"))
+    column, rows = documents.columns.index(text_col), numbered(documents)
+    for index in _blocks(items, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high, data, offsets in kernel.slices(batch.column(column)):
+                    words = kernel.Words(data, offsets, WORD_BYTES)
+                    clean = np.ones(high - low, bool)
+                    clean[np.searchsorted(words.first, index.value.hits(words)[0], "right") - 1] = False
+                    yield batch.slice(low, high - low).filter(pa.array(clean))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.toDF(*documents.columns)
+
+
 def find(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
@@ -166,18 +200,12 @@ def find(
     items have no words; items with a null id count as hits but are not listed. Repeated rows of
     documents stay, repeated items count once. Other columns are not read.
     """
-    spark = documents.sparkSession
     docs = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
+        named(id_col).cast("long").alias("doc_id"), F.xxhash64(named(text_col)).alias("text_key"), named(text_col).alias("text")
     )
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    parts = []
-    for i in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).collect()
-        parts.append(_scan(docs, spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in own]))))
-    if blocks == 1:
+    items = benchmark.select(named(item_col).cast("long").alias("item_id"), named(item_text_col).alias("text"))
+    parts = [_scan(docs, index) for index in _blocks(items, block_bytes)]
+    if len(parts) == 1:
         out = parts[0]
     else:
         rest = parts[0]

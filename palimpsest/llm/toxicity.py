@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from palimpsest.llm import kernel
+from palimpsest.llm.common import named, numbered
 
 #: Signs and the letters they are drawn for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il"}
@@ -31,8 +33,6 @@ BOUND = 8000
 SUPPORT, DEVIATIONS = 4, 5.5
 #: A feature's log odds of label 1, drawn towards the overall rate, are at least so high: a mere lean is none.
 LEAN = 0.8
-#: Learned features are sent to all executors: at most so many, the strongest.
-FEATURES = 50_000
 CUT = 0.3
 
 WORD_BYTES = kernel.byte_set((0x61, 0x7A), (0x80, 0xFF))
@@ -196,15 +196,35 @@ def score(
     without features, as all have if nothing can be learned. Repeated rows stay; a row with a null
     id is not held out and never learned from. Other columns are not read.
     """
+    docs = documents.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    found = with_score(docs, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", "text", label_col, bound)
+    return found.select(
+        "doc_id",
+        F.coalesce(_remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
+    )
+
+
+def _remainder(id_: Column) -> Column:
+    return F.crc32(id_.cast("long").cast("string").cast("binary")) % 4
+
+
+def with_score(
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = BOUND
+) -> DataFrame:
+    """All rows and columns of documents, and score (which replaces a column of that name); see score().
+
+    A row's score comes with the row in one pass, so rows with null or repeated ids have their own.
+    """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = documents.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     counts = np.zeros(SYMBOLS**3, np.int64)
     for gram, n in trigrams(docs.select("text")).collect():  # at most SYMBOLS ** 3 rows
         counts[gram] = n
     model = spark.sparkContext.broadcast(Restorer(Model(counts)))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where("doc_id is not null and label is not null").where(remainder != 2)
+    known = known.where("doc_id is not null and label is not null").where(_remainder(F.col("doc_id")) != 2)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
     known = spark.createDataFrame(known.collect(), "doc_id long, label int")  # at most `bound` rows
     sample = docs.join(F.broadcast(known), "doc_id").select("label", "text")
@@ -234,7 +254,7 @@ def score(
     kept = by_feature.where(F.col("ones") >= SUPPORT).withColumn("z", above).where(F.col("z") >= DEVIATIONS)
     # odds with two documents' worth of the overall rate
     odds = F.log((F.col("ones") + 2 * rate) / (F.col("n") - F.col("ones") + 2 * (1 - rate)))
-    rows = kept.withColumn("odds", odds).where(F.col("odds") >= LEAN).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    rows = kept.withColumn("odds", odds).where(F.col("odds") >= LEAN).collect()  # of at most `bound` documents
     weight = {r.feature: r.odds for r in rows}
     keys = np.array(sorted(weight), np.int64)
     table = spark.sparkContext.broadcast((keys, np.array([weight[k] for k in keys.tolist()])))
@@ -259,16 +279,17 @@ def score(
     n, ones = sample.mapInArrow(rest, "n long, ones long").agg(F.sum("n"), F.sum("ones")).first()
     base = ((ones or 0) + 0.5 * rate) / ((n or 0) + 0.5)
 
+    rows = documents.drop("score")
+    column = rows.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in kernel.slices(batch.column(1)):
+            for low, high, data, offsets in kernel.slices(batch.column(column)):
                 odds = strongest(data, offsets)
                 found = np.where(np.isneginf(odds), base, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(found)], names=["doc_id", "score"])
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double").select(
-        "doc_id",
-        F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= CUT).cast("int").alias("predicted"),
-    )
+    numbers = numbered(rows)
+    schema = StructType([*numbers.schema.fields, StructField("score", DoubleType())])
+    return numbers.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rows.columns)], "score")

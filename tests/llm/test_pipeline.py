@@ -2,8 +2,8 @@
 
 import random
 import re
+from collections import Counter
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -34,6 +34,8 @@ def make(rng):
         w[5 + i] = "edited"
         rows.append((300 + i, " ".join(w)))
     rows += [(400, rows[5][1]), (401, rows[5][1]), (402, None), (403, ""), (404, "one"), (404, "one")]
+    # judged by their own text: rows without an id, and a clean row that shares its id with a toxic one
+    rows += [(None, f"{prose(20)} {BAD}"), (None, f"{prose(9)} {passage} {prose(9)}"), (500, prose(30)), (500, f"{prose(30)} {BAD}")]
     return rows, labels, [(1, passage.upper()), (2, None), (3, prose(30))]
 
 
@@ -45,15 +47,6 @@ def brute_toxic(docs):
     return [(i, t) for i, t in docs if BAD not in (t or "")]
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, last = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
-
-
 def groups(n, pairs):
     parent = list(range(n))
 
@@ -69,16 +62,16 @@ def groups(n, pairs):
 
 def brute_lines(docs):
     normal = lambda x: " ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub(r"[0-9]", "0", lower(x))))
-    docs = sorted(docs, key=lambda r: r[0])
+    docs = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
     names = sorted({normal(x) for _, t in docs for x in (t or "").split("\n")} - {""})
-    data = "\n".join(names).encode()
-    values = line_dedup.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)])).simhash().tolist()
-    near = [
-        (i, j)
-        for i in range(len(names))
-        for j in range(i)
-        if (values[i] ^ values[j]).bit_count() <= 3 and distance(names[i], names[j]) <= int(0.1 * max(len(names[i]), len(names[j])) + 1e-9)
-    ]
+    counts = list(map(Counter, names))
+    near = []
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            most = int(0.1 * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and sum(((counts[i] - counts[j]) | (counts[j] - counts[i])).values()) <= 2 * most:
+                if line_dedup.edits(a, b) <= most:
+                    near.append((i, j))
     group = dict(zip(names, groups(len(names), near), strict=True))
     first, out = {}, []
     for i, t in docs:
@@ -101,7 +94,7 @@ def brute_near(docs):
     group = groups(len(docs), near)
     least = {}
     for (i, _), g in zip(docs, group, strict=True):
-        least[g] = min(i, least.get(g, i))
+        least[g] = min(i, least.get(g, i), key=lambda x: (x is None, x))
     return list(dict.fromkeys(d for d, g in zip(docs, group, strict=True) if d[0] == least[g]))
 
 
