@@ -1,7 +1,9 @@
 """From documents to token ids: five stages, each one of the operators of palimpsest.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of
-documents. Rows are told apart by doc_id. Empty tables pass through; null texts are kept to the end.
+documents. Toxic texts and benchmark passages are judged row by row; where documents are compared, one
+is an id and a text, so null and repeated ids are no special case. Empty tables pass through; null
+texts are kept to the end.
 """
 
 from __future__ import annotations
@@ -14,33 +16,27 @@ from palimpsest.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from palimpsest.llm.common import Scratch, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; labels of all documents may be learned from."""
-    return _without(docs, toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Rows whose own text is predicted toxic go; labels count but those of ids whose crc32 mod 4 is 2."""
+    scored = toxicity.with_score(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("score") < toxicity.CUT).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of which another occurrence stays go, and documents that have lost all they said with them."""
-    done = line_dedup.deduplicate(docs, bits=None)
+    done = line_dedup.deduplicate(docs)
     left = done.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate groups the document with the smallest id stays; of repeated rows, one."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return left.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    return minhash.keep_first(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("spans") > 0))
+    """Rows that hold a passage of a benchmark item go."""
+    return decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +52,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: SimHash, edit similarity and learned scores have no SQL; tests hold run() against brute force.
+#: Near copies, edit similarity and learned scores have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
