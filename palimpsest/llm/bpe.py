@@ -24,7 +24,7 @@ from palimpsest.llm.pretoken import Encoder
 
 
 #: Entries of a worker's table of token pairs that may follow each other; it starts anew when full.
-GOOD = 300_000
+GOOD = 200_000
 
 
 class Vocabulary:

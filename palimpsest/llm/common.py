@@ -11,7 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch; texts are long, and both sides hold some batches at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +52,7 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, what: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.made = 0

@@ -72,7 +72,7 @@ def link_buckets(
     deal: Callable[[int, DataFrame | None, DataFrame | None], DataFrame],
     nodes: DataFrame,
     may_link: Callable[[str, str], str],
-    verify: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
     scratch: Scratch,
     rounds: int = 2,
     few: int = FEW,
@@ -87,7 +87,8 @@ def link_buckets(
     nodes: (node, rank, x), x a struct of what may_link looks at.
     may_link: the SQL condition on two such structs that a pair meets to be a candidate at all; it
     is part of the join, so other pairs are never made.
-    verify: takes distinct pairs (a, b) and returns those that are links.
+    verify: takes distinct pairs (a, b) and the open rows of the round, whose nodes hold those of all
+    later rounds that deal the same buckets, and returns the pairs that are links.
 
     A bucket whose nodes are all in one component needs no pairs: they cannot change the result. Of
     the others, those with up to `few` nodes compare all of these, a bounded number for a row; in a
@@ -129,7 +130,7 @@ def link_buckets(
         pairs = scratch.keep(pairs, "pairs")
         if pairs.isEmpty():
             continue  # no centre has a new candidate; other members of a bucket may still have some
-        found = downward(verify(pairs)).distinct()
+        found = downward(verify(pairs, rest)).distinct()
         edges = star_step(scratch.keep(found if edges is None else edges.unionByName(found), "links"), scratch)
         # not the whole components yet, but the same label only within one
         component = scratch.keep(labels(edges), "labels")

@@ -20,6 +20,7 @@ are no one's copies and always stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ BANDS, VALUES = 10, 3
 LONG, SHORT, WIDTH = 54, 60, 4
 WORD_BYTES = kernel.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _FACTORS = kernel.mix(np.arange(BANDS * VALUES, dtype=np.uint64)) | np.uint64(1)
+#: The bits of a byte, first to last, as bytes.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).view(np.uint64).reshape(-1)
 _NORMAL = kernel.LOWER.copy()
 _NORMAL[0x30:0x3A] = 0x30
 
@@ -58,6 +61,7 @@ class Lines:
         self.some = np.flatnonzero(n > 0)
         self.node = self.words.grams(self.words.first[:-1][self.some], n[self.some])
 
+    @cached_property
     def lengths(self) -> np.ndarray:
         """Characters of the normal forms of the lines with words."""
         lead = np.concatenate(([0], np.cumsum((self.words.data & 0xC0) != 0x80)))
@@ -71,11 +75,17 @@ class Lines:
         low, high = self.words.first[:-1][self.some], self.words.first[1:][self.some]
         for at in range(0, len(self.some), step):
             a, b = low[at : at + step], high[at : at + step]
-            bits = np.unpackbits(self.words.hash[a[0] : b[-1]].view(np.uint8).reshape(-1, 8), axis=1)
-            sums = np.add.reduceat(bits, a - a[0], axis=0, dtype=np.int32)
+            lanes = _LANES[self.words.hash[a[0] : b[-1]].view(np.uint8).reshape(-1, 8)]
+            # eight counts of a byte in each sum, so of at most 255 words
+            part = kernel.ranges(a, -(-(b - a) // 255))
+            parts = -(-(b - a) // 255)
+            starts = np.repeat(a, parts) + 255 * (part - np.repeat(a, parts))
+            sums = np.add.reduceat(lanes, starts - a[0], axis=0).view(np.uint8).reshape(-1, 64)
+            sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
             out[at : at + step] = np.packbits(2 * sums > (b - a)[:, None], axis=1).view(np.uint64).reshape(-1)
         return out
 
+    @cached_property
     def normal(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the normal forms of the lines with words, and where each starts and the last ends."""
         w = self.words
@@ -89,14 +99,14 @@ class Lines:
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
         """(index into some, bucket), BANDS for each line, or twice as many; by line."""
-        length = self.lengths()
+        length = self.lengths
         words = np.flatnonzero(length >= LONG)
         low, n = self.words.first[:-1][self.some[words]], np.diff(self.words.first)[self.some[words]]
         some = np.maximum(n - 1, 1)
         grams = self.words.grams(kernel.ranges(low, some), np.repeat(np.minimum(n, 2), some))
         kinds = [(words, grams, some)]
         short = np.flatnonzero(length <= SHORT)
-        data, at = self.normal()
+        data, at = self.normal
         n = at[short + 1] - at[short]
         some, sums = np.maximum(n - (WIDTH - 1), 1), kernel.prefix_sums(kernel._SYMBOL[data])
         start = kernel.ranges(at[short], some)
@@ -118,10 +128,6 @@ class Lines:
         order = np.argsort(line, kind="stable")
         return line[order], bucket[order]
 
-    def text(self, i: int) -> bytes:
-        w = self.words
-        return b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(w.first[i], w.first[i + 1]))
-
 
 SIGNED = "doc_id long, key long, number long, node long, sketch long, length long, buckets array<long>"
 
@@ -146,7 +152,7 @@ def sign(docs: DataFrame) -> DataFrame:
                         pa.array(lines.number[lines.some]),
                         pa.array(kernel.signed(lines.node)),
                         pa.array(kernel.signed(lines.simhash())),
-                        pa.array(lines.lengths()),
+                        pa.array(lines.lengths),
                         pa.ListArray.from_arrays(bounds, pa.array(kernel.signed(bucket))),
                     ],
                     names=["doc_id", "key", "number", "node", "sketch", "length", "buckets"],
@@ -165,7 +171,9 @@ def normal_forms(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 lines = Lines(data, offsets)
                 node, first = np.unique(kernel.signed(lines.node), return_index=True)
                 hit = asked(table.value, n, node)
-                texts = [lines.text(lines.some[i]).decode("utf-8", "replace") for i in first[hit].tolist()]
+                (flat, at), own = lines.normal, first[hit]
+                flat = flat.tobytes()
+                texts = [flat[x:y].decode("utf-8", "replace") for x, y in zip(at[own].tolist(), at[own + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(texts, pa.string())], names=["node", "line"])
 
     return docs.select("text").mapInArrow(run, "node long, line string").join(nodes, "node").groupBy("node").agg(F.first("line").alias("line"))
@@ -229,7 +237,6 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def deal(_: int, component: DataFrame | None, rest: DataFrame | None) -> DataFrame:
         if rest is None:
             return lines.select(F.explode("buckets").alias("bucket"), "node", F.col("node").alias("c"))
-        texts or texts.append(scratch.keep(normal_forms(docs, scratch.keep(rest.select("node").distinct(), "nodes")), "texts"))
         if component is None:
             return rest
         return rest.drop("c").join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
@@ -239,12 +246,10 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         close = f"(bit_count({x}.sketch ^ {y}.sketch) <= {DISTANCE} or least({x}.length, {y}.length) <= {SHORT})"
         return f"{close} and least({x}.length, {y}.length) >= {SIMILARITY} * greatest({x}.length, {y}.length)"
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        if not texts:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            known = scratch.keep(normal_forms(docs, scratch.keep(wanted, "nodes")), "texts")
-        else:
-            known = texts[0]
+    def verify(pairs: DataFrame, rest: DataFrame) -> DataFrame:
+        if not texts:  # for later rounds too, whose buckets are among these
+            texts.append(scratch.keep(normal_forms(docs, scratch.keep(rest.select("node").distinct(), "nodes")), "texts"))
+        known = texts[0]
         both = pairs.join(known.selectExpr("node as a", "line as la"), "a").join(known.selectExpr("node as b", "line as lb"), "b")
         return confirm(both)
 

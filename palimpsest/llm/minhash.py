@@ -322,7 +322,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = own.join(other, "shingle").where("c < d").where(may_be_first(percent)).where(may_link("x", "y"))
         return met.select(F.col("node").alias("a"), "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, _: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
         two = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
         alive = scratch.keep(prune(pairs.join(one, "a").join(two, "b"), percent / 100), "alive")

@@ -17,7 +17,7 @@ from palimpsest.llm import kernel
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Entries of a worker's cache of pre-tokens; it starts anew when full.
-CACHE = 150_000
+CACHE = 100_000
 
 
 @lru_cache

@@ -341,8 +341,12 @@ def test_op8_finds_lines_with_an_edited_word(spark):
     assert removed <= set(range(len(first), 2 * len(first))) and len(removed) >= 0.97 * len(first)
     data = "\n".join(first).encode()
     lines = line_dedup.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    flat, at = lines.normal()
-    assert [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)] == [lines.text(i) for i in lines.some]
+    flat, at = lines.normal
+    assert [flat[x:y].tobytes().decode() for x, y in zip(at[:-1], at[1:], strict=True)] == first
+    for n in (first[0], " ".join(first[-9:])):  # more than 255 words too
+        lines = line_dedup.Lines(np.frombuffer(n.encode(), np.uint8), np.array([0, len(n.encode())]))
+        bits = np.unpackbits(lines.words.hash.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        assert np.packbits(2 * bits.sum(0) > len(bits)).view(np.uint64)[0] == lines.simhash()[0]
 
 
 @pytest.mark.parametrize(("few", "rounds"), [(0, 1), (0, 2), (8, 2)])
@@ -357,7 +361,7 @@ def test_buckets_lose_no_link(spark, few, rounds):
             return nodes.selectExpr("7L as bucket", "node", "node as c")
         return nodes.join(component, "node", "left").selectExpr("7L as bucket", "node", "coalesce(component, node) as c")
 
-    found = link_buckets(deal, nodes, near, lambda pairs: pairs, scratch, rounds=rounds, few=few)
+    found = link_buckets(deal, nodes, near, lambda pairs, _: pairs, scratch, rounds=rounds, few=few)
     assert {(r.node, r.component) for r in found.collect()} == {(2, 2), (3, 2)}
 
 
