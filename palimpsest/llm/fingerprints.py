@@ -1,16 +1,14 @@
-"""Document fingerprints from closed syncmers, in DataFrame functions only.
-
-A text is a sequence of units: words, and for short texts single characters. Of K units in a row,
-the one with the smallest hash is found; if it stands at an edge (first or last), the K units are
-an anchor. That depends on these K units alone, so an edit touches only the anchors across it,
-and equal passages have equal anchors at the same distances wherever they stand. (The inner
-substring is one unit: s = 1.) About 2 / K of all positions are anchors.
-
-A fingerprint holds the KEEP anchors with the smallest hashes; likeness is the share of equal
-anchors among the smallest of the union, which estimates the Jaccard similarity of all anchors.
-Texts of up to CHARS_BELOW characters have anchors of characters, those from WORDS_FROM on have
-anchors of words; between the two both, so that two texts of which one is three quarters as long
-as the other at least always have a kind in common.
+"""Document fingerprints from closed syncmers and their places, in DataFrame functions only.
+
+Of K words in a row, the one with the smallest hash is found; if it stands at an edge (first or
+last), the K words are an anchor. That depends on these K words alone, so an edit touches only the
+anchors across it, and equal passages have equal anchors at the same distances wherever they stand.
+(The inner substring is one word: s = 1.) About 2 / K of all places are anchors.
+
+A fingerprint is all anchors of a text with their places, so it grows with the text. Two texts
+match at a place where both have the same two anchors one after the other at the same distance: the
+matched places of a passage share one offset, whatever stands before it. Likeness is the share of
+matched pairs of neighbours among those that either text has.
 """
 
 from __future__ import annotations
@@ -19,16 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import bucket_of, cut_points
+from palimpsest.llm.common import bucket_of, cut_points, named
 
 K = 4
-KEEP = 96
-WORDS_FROM, CHARS_BELOW = 300, 540
-RANGES = 64
+#: Ranges of ids hold about so many bytes of text each; there are at least FEWEST and at most MOST of them.
+RANGE_BYTES, FEWEST, MOST = 64 << 20, 64, 1024
+NONE = "array<struct<at:int,hash:bigint>>"
+
+
+def words(text: Column) -> Column:
+    """Words between white space of ASCII; none is empty."""
+    return F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
 
 
 def anchors(units: Column) -> Column:
-    """Hashes of the closed syncmers of an array of strings, by position; fewer than K units are one."""
+    """(at, hash) of the closed syncmers of an array of strings, by place; fewer than K units, but not none, are one."""
     hashes = F.transform(units, lambda x: F.xxhash64(x))
 
     def chosen(h: Column) -> Column:
@@ -36,71 +39,55 @@ def anchors(units: Column) -> Column:
             F.sequence(F.lit(0), F.size(h) - K),
             lambda i: F.least(h[i], h[i + (K - 1)]) <= F.least(*[h[i + j] for j in range(1, K - 1)]),
         )
-        return F.transform(at, lambda i: F.xxhash64(*[h[i + j] for j in range(K)]))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash")))
 
     # bound once: without the one-row transform each use of the hashes would compute them anew
     found = F.transform(
         F.array(hashes),
-        lambda h: F.when(F.size(h) >= K, chosen(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")),
+        lambda h: F.when(F.size(h) >= K, chosen(h))
+        .when(F.size(h) > 0, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(h).alias("hash"))))
+        .otherwise(F.array().cast(NONE)),
     )
     return F.element_at(found, 1)
 
 
-def words(text: Column) -> Column:
-    return F.split(F.translate(text, "\n\t\r", "   "), " ")
-
-
-def characters(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
+def neighbours(found: Column) -> Column:
+    """A hash of each two anchors in a row and their distance; a lone anchor is one."""
 
-def smallest(hashes: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, KEEP)
+    def pairs(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: F.xxhash64(a[i]["hash"], a[i + 1]["hash"], a[i + 1]["at"] - a[i]["at"]))
 
-
-def sketch(text: Column) -> Column:
-    """struct<chars, words>: for each kind of unit that the text's length asks for, its smallest anchors, else null."""
-    n = F.char_length(text)
-    return F.struct(
-        F.when(n < CHARS_BELOW, smallest(anchors(characters(text)))).alias("chars"),
-        F.when(n >= WORDS_FROM, smallest(anchors(words(text)))).alias("words"),
+    out = F.transform(
+        F.array(found),
+        lambda a: F.when(F.size(a) > 1, F.array_distinct(pairs(a))).otherwise(F.transform(a, lambda x: F.xxhash64(x["hash"]))),
     )
+    return F.element_at(out, 1)
 
 
 def as_string(found: Column) -> Column:
-    """A fingerprint as text: c or w, then the anchors in hex, ascending as signed numbers."""
-    parts = [
-        F.concat(F.lit(kind + ":"), F.array_join(F.transform(found[name], lambda x: F.lower(F.hex(x))), ","))
-        for kind, name in (("c", "chars"), ("w", "words"))
-    ]
-    return F.concat_ws(";", *parts)
-
-
-def _jaccard(a: Column, b: Column) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEEP)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) > 0, both / F.size(union)).otherwise(1.0)
+    """A fingerprint as text: place and hash, in hex, of each anchor."""
+    return F.array_join(F.transform(found, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), F.lower(F.hex(x["hash"])))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1, of two sketches: by words if both have them, else by characters, else 0. Two empty texts: 1."""
-    return (
-        F.when(a["words"].isNotNull() & b["words"].isNotNull(), _jaccard(a["words"], b["words"]))
-        .when(a["chars"].isNotNull() & b["chars"].isNotNull(), _jaccard(a["chars"], b["chars"]))
-        .otherwise(0.0)
-    )
+    """From 0 to 1, of neighbours() of two texts: their Jaccard similarity. Two texts without words: 1."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(1.0)
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """(doc_id, text) with own, next_text, next_own: sketches, and the row next by doc_id, then text; after the last the first.
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(doc_id, text, next_text): the text of the row next by doc_id, then text; after the last that of the first.
 
     Ranges of ids are windows of their own; each range's last row takes the first row of the next
     range, one row a range, so no task sorts all rows.
     """
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = min(MOST, max(FEWEST, size // RANGE_BYTES))
     cuts = cut_points(docs, "doc_id", ranges)
-    dealt = docs.withColumn("own", sketch(F.col("text"))).withColumn("range", bucket_of(F.col("doc_id"), cuts))
+    dealt = docs.withColumn("range", bucket_of(F.col("doc_id"), cuts))
     within = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    inside = dealt.withColumns({"next_text": F.lead("text").over(within), "next_own": F.lead("own").over(within)})
+    inside = dealt.withColumn("next_text", F.lead("text").over(within))
     ids = docs.select("doc_id").groupBy(bucket_of(F.col("doc_id"), cuts)).agg(F.min("doc_id").alias("id")).collect()
     heads = docs.where(F.col("doc_id").isin([r.id for r in ids if r.id is not None]) | F.col("doc_id").isNull())
     heads = heads.groupBy(bucket_of(F.col("doc_id"), cuts).alias("range")).agg(
@@ -109,41 +96,37 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     turn = Window.orderBy("range")
     whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("range", F.coalesce(F.lead("text").over(turn), F.first("text").over(whole)).alias("after_text"))
-    after = after.withColumn("after_own", sketch(F.col("after_text")))
     # texts are not null here, so a null lead marks the last row of a range
-    return inside.join(F.broadcast(after), "range").select(
-        "doc_id", "text", "own", F.coalesce("next_text", "after_text").alias("next_text"), F.coalesce("next_own", "after_own").alias("next_own")
-    )
+    return inside.join(after, "range").select("doc_id", "text", F.coalesce("next_text", "after_text").alias("next_text"))
 
 
-def compare_edited(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def compare_edited(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and likeness to these and to the next document's.
 
     The edited text: the last quarter of the characters, rounded down, replaced by as many of the
     first of the next document by doc_id. Null is empty. Equal ids follow the order of their texts;
     null ids come first; a single row is its own next. Other columns are not read.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = F.char_length("text")
-    dealt = with_next(docs, ranges).withColumn("n_chars", n.cast("long"))
+    docs = documents.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    dealt = with_next(docs, ranges).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = (F.col("n_chars") / 4).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut)
     )
-    found = dealt.select(
+    texts = dealt.select("doc_id", "n_chars", "text", edited.alias("edited"), "next_text")
+    found = texts.select(
         "doc_id",
         "n_chars",
-        F.sha2(edited, 256).alias("edited_sha256"),
-        "own",
-        F.transform(F.array(edited), sketch)[0].alias("other"),
-        F.col("next_own").alias("after"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *[anchors(words(F.col(c))).alias(c) for c in ("text", "edited", "next_text")],
     )
-    return found.select(
+    near = found.select("*", *[neighbours(F.col(c)).alias(f"{c}_near") for c in ("text", "edited", "next_text")])
+    return near.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_string(F.col("own")).alias("fingerprint"),
-        as_string(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        as_string(F.col("text")).alias("fingerprint"),
+        as_string(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("text_near"), F.col("edited_near")).alias("near_edited"),
+        likeness(F.col("text_near"), F.col("next_text_near")).alias("near_next"),
     )
