@@ -11,7 +11,7 @@ import copy
 import threading
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -70,6 +70,10 @@ class Closed(RuntimeError):
     pass
 
 
+class _NothingToDo(Exception):
+    """No entry of a compare-and-set matched, so there is nothing to commit."""
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Driver rows as a DataFrame by way of Arrow: no Python workers are needed to read them."""
     schema = StructType.fromDDL(ddl)
@@ -89,7 +93,6 @@ class VersionedStore:
         self.log = ManifestLog(spark, root)
         self.lock = threading.RLock()
         self.readers: Counter[int] = Counter()
-        self.committed: list[tuple[int, frozenset[bytes]]] = []
         self.open_ = True
         self.compaction_filter_drops = 0
         self._pool: ThreadPoolExecutor | None = None
@@ -208,8 +211,11 @@ class VersionedStore:
     def delete_range(self, start: Key, end: Key) -> int:
         return self.write_batch([DelRange(start, end)])
 
-    def write_batch(self, batch: list, now: int | None = None, attempts: int = 20) -> int:
-        """Applies point operations, or range deletions, at one timestamp; returns it."""
+    def write_batch(self, batch: list, now: int | None = None, attempts: int = 20, check: Callable[[Manifest], None] | None = None) -> int:
+        """Applies point operations, or range deletions, at one timestamp; returns it.
+
+        check sees the manifest that each attempt would replace, and raises if the batch must not be.
+        """
         if not batch:
             return self.manifest().last_ts
         ranges = [x for x in batch if isinstance(x, DelRange)]
@@ -232,26 +238,83 @@ class VersionedStore:
             kind = R.TOMBSTONE if isinstance(x, Del) else R.TTL_INLINE if expiry is not None else R.INLINE
             last[key] = (x.key, i, kind, None if kind == R.TOMBSTONE else x.value, expiry)
         df = local_rows(self.spark, list(last.values()), f"k {self.options.key_type}, seq int, kind tinyint, v {self.options.value_type}, expire_at bigint")
-        ts = self._commit(lambda m: self._add_segment(m, df.withColumn("ts", F.lit(m.last_ts)).coalesce(1)), attempts)
-        self._record(ts, frozenset(last))
-        return ts
+
+        def apply(m: Manifest) -> None:
+            if check:
+                check(m)
+            self._add_segment(m, df.withColumn("ts", F.lit(m.last_ts)).coalesce(1))
+
+        return self._commit(apply, attempts)
+
+    def written_since(self, m: Manifest, keys: list[Key], ts: int) -> bool:
+        """Whether a version of any key, or a range deletion over one, came after a timestamp, by whatever writer."""
+        asked = local_rows(self.spark, [(k,) for k in keys], f"k {self.options.key_type}")
+        late = [s.path for s in m.segments if s.max_ts > ts]
+        if late:
+            log = self.spark.read.schema(self._schema).parquet(*[f"{self.root}/{p}" for p in late])
+            if not log.where(F.col("ts") > ts).join(F.broadcast(asked), "k", "left_semi").isEmpty():
+                return True
+        rt = self.range_tombstones(m)
+        over = (F.col("k") >= F.col("start")) & (F.col("k") < F.col("end"))
+        return rt is not None and not rt.where(F.col("ts") > ts).join(F.broadcast(asked), over, "left_semi").isEmpty()
+
+    def compare_and_set(self, key: Key, old: Key | None, new: Key | None, at: int | None = None) -> bool:
+        """Writes new (None deletes) if the key's visible value is old (None: absent); whether it did."""
+        return self.compare_and_set_batch([(key, old, new)], at)[0]
+
+    def compare_and_set_batch(self, entries: list[tuple[Key, Key | None, Key | None]], at: int | None = None, now: int | None = None) -> list[bool]:
+        """For each (key, old, new) whether its value was old; these are written in one commit, which no other comes before.
+
+        at: the version of a key must also be of this very timestamp. Of a key that matches twice the
+        last new value is stored.
+        """
+        keys, found = [k for k, _, _ in entries], []
+
+        def check(m: Manifest) -> None:
+            seen = self.clock() if now is None else now
+            asked = local_rows(self.spark, list(enumerate(keys)), f"ord bigint, k {self.options.key_type}")
+            rows = R.batch_get(self.change_log(m), asked, self.range_tombstones(m), None, seen).collect()
+            got = {r.ord: (r.v if r.found else None, r.ts) for r in rows}
+            found[:] = [got[i][0] == old and (at is None or got[i][1] == at) for i, (_, old, _) in enumerate(entries)]
+
+        def apply(m: Manifest) -> None:
+            check(m)
+            last = {_raw(k): (k, i, R.TOMBSTONE if new is None else R.INLINE, new, None) for i, (k, _, new) in enumerate(entries) if found[i]}
+            if not last:
+                raise _NothingToDo
+            df = local_rows(self.spark, list(last.values()), f"k {self.options.key_type}, seq int, kind tinyint, v {self.options.value_type}, expire_at bigint")
+            self._add_segment(m, df.withColumn("ts", F.lit(m.last_ts)).coalesce(1))
+
+        try:
+            if entries:
+                self._commit(apply)
+        except _NothingToDo:
+            pass
+        return found
 
     def ingest(self, rows: DataFrame, token: tuple[str, int] | None = None) -> int:
         """Bulk writes: (k, v), optionally pos, op ('put' or 'del') and expire_at; the last by pos of a key wins.
 
-        A token (query, batch) that is already committed makes this a no-op.
+        Without pos a key may occur once. A null op is a put, any other than these two an error, as is a
+        null or too long key. A token (query, batch) that is already committed makes this a no-op.
         """
         if token and self.manifest().tokens.get(token[0], -1) >= token[1]:
             return self.manifest().last_ts
         if "pos" in rows.columns:
             rows = R.last_per_key(rows)
-        deleted = F.col("op") == "del" if "op" in rows.columns else F.lit(False)
+        deleted = F.lit(False)
+        if "op" in rows.columns:
+            wrong = F.raise_error(F.concat(F.lit("no such operation: "), "op")).cast("boolean")
+            deleted = F.when(F.col("op").isNull() | (F.col("op") == "put"), F.lit(False)).when(F.col("op") == "del", F.lit(True)).otherwise(wrong)
+        longest = (MAX_ENCODED_KEY - 8) // 9 * 8 - 1
+        fits = F.col("k").isNotNull() & (F.octet_length("k") <= longest)
+        key = F.when(fits, F.col("k")).otherwise(F.raise_error(F.lit("the key is null or too long")).cast(self.options.key_type))
         expiry = F.col("expire_at").cast("bigint") if "expire_at" in rows.columns else F.lit(None).cast("bigint")
         kind = F.when(deleted, R.TOMBSTONE).when(expiry.isNotNull(), R.TTL_INLINE).otherwise(R.INLINE).cast("tinyint")
-        out = rows.select("k", F.lit(0).alias("seq"), kind.alias("kind"), F.when(~deleted, F.col("v")).alias("v"), F.when(~deleted, expiry).alias("expire_at"))
+        out = rows.select(key.alias("k"), F.lit(0).alias("seq"), kind.alias("kind"), F.when(~deleted, F.col("v")).alias("v"), F.when(~deleted, expiry).alias("expire_at"))
 
         def apply(m: Manifest) -> None:
-            self._add_segment(m, out.withColumn("ts", F.lit(m.last_ts)))
+            self._add_segment(m, out.withColumn("ts", F.lit(m.last_ts)), once="pos" not in rows.columns)
             if token:
                 m.tokens[token[0]] = token[1]
 
@@ -279,10 +342,15 @@ class VersionedStore:
             df = df.repartitionByRange(self.options.files_per_segment, "k")
         df.sortWithinPartitions("k", F.desc("ts")).write.option("parquet.bloom.filter.enabled#k", "true").parquet(path)
 
-    def _add_segment(self, m: Manifest, df: DataFrame, level: int = 0) -> None:
+    def _add_segment(self, m: Manifest, df: DataFrame, level: int = 0, once: bool = False) -> None:
+        """once: a key may not occur twice, else the segment is taken back."""
         path = f"segments/{m.next_id:012d}-{uuid.uuid4().hex}"
         self._write(df, f"{self.root}/{path}")
         written = self.spark.read.schema(self._schema).parquet(f"{self.root}/{path}")
+        if once and not (twice := written.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")).isEmpty():
+            key = twice.first().k
+            self.log.delete(path)
+            raise ValueError(f"the key {key!r} occurs twice and pos does not tell which is the last")
         row = written.agg(
             F.count("*").alias("rows"), F.count_if(F.col("kind") == R.TOMBSTONE).alias("tombstones"), F.count("expire_at").alias("ttl_rows"),
             F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.max("expire_at").alias("max_expire"),
@@ -299,12 +367,6 @@ class VersionedStore:
         m.rt_rows += n
         m.next_id += 1
 
-    def _record(self, ts: int, keys: frozenset[bytes]) -> None:
-        if self.options.serializable:
-            with self.lock:
-                low = min(self.readers, default=ts)
-                self.committed = [c for c in self.committed if c[0] > low] + [(ts, keys)]
-
     # maintenance
 
     def compact(self, now: int | None = None) -> None:

@@ -194,3 +194,44 @@ def test_command_line(store):
     command(store, "full_compaction")
     assert "'tombstones': 0" in command(store, "rt_stats") and command(store, "what").startswith("fill")
     assert command(store, "quit") is None
+
+
+def test_ingest_refuses_what_it_cannot_store(spark, tmp_path):
+    store = VersionedStore.open(spark, str(tmp_path / "s"))
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v string, op string")
+    store.ingest(rows(("a", "1", None), ("b", "2", "put"), ("c", None, "del")))
+    assert [store.get(k) for k in "abc"] == ["1", "2", None]
+    for bad in (rows(("d", "1", "upsert")), rows(("d", "1", "put"), ("d", "2", "put")), rows((None, "1", "put")), rows(("x" * 70_000, "1", "put"))):
+        with pytest.raises(Exception, match="no such operation|occurs twice|null or too long"):
+            store.ingest(bad)
+    assert store.count() == 2 and len(store.manifest().segments) == 1
+
+
+def test_serializable_sees_bulk_writes_and_range_deletions(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store = VersionedStore.open(spark, root, Options(serializable=True))
+    store.write_batch([Put("a", "1"), Put("b", "1")])
+    other = VersionedStore.open(spark, root)
+    for write in (lambda: store.ingest(spark.createDataFrame([("a", "2")], "k string, v string")), lambda: other.delete_range("a", "b"), lambda: other.put("a", "3")):
+        txn = store.begin()
+        txn.get("a")
+        txn.put("z", "1")
+        write()
+        with pytest.raises(Conflict):
+            txn.commit()
+    txn = store.begin()
+    txn.get("a")
+    txn.put("z", "1")
+    other.put("b", "2")
+    txn.commit()
+    assert store.get("z") == "1"
+
+
+def test_compare_and_set(spark, tmp_path):
+    store = VersionedStore.open(spark, str(tmp_path / "s"))
+    ts = store.write_batch([Put("a", "1"), Put("b", "1")])
+    assert store.compare_and_set("a", "1", "2") and not store.compare_and_set("a", "1", "3") and store.compare_and_set("c", None, "1")
+    assert store.compare_and_set_batch([("a", "2", None), ("b", "x", "y"), ("b", "1", "5")]) == [True, False, True]
+    assert [store.get(k) for k in "abc"] == [None, "5", "1"]
+    now = store.manifest().last_ts
+    assert not store.compare_and_set("b", "5", "6", at=ts) and store.compare_and_set("b", "5", "6", at=now) and store.compare_and_set_batch([]) == []
