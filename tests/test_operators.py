@@ -123,7 +123,10 @@ def test_policies():
     assert task.upper == 0 and task.lower == 2
     assert P.Tiered(num_tiers=3).pick(P.Shape([[r] for r in runs[:2]])) is None
     assert P.Tiered(num_tiers=3).pick(P.Shape([[r] for r in runs[:3]])) == [0, 1, 2]
-    assert P.Tiered(num_tiers=2, max_size_amplification_percent=9999).pick(P.Shape([[runs[0]], [runs[1]], runs[:3]])) == [0, 1]
+    # the tiers so far reach the next one's size and are merged with it; else there are too many
+    wide = P.Tiered(num_tiers=3, max_size_amplification_percent=9999)
+    assert wide.pick(P.Shape([runs[:3], runs[:2], runs[:4]])) == [0, 1] and wide.pick(P.Shape([[runs[0]], runs[:2], runs[:4]])) == [0, 1]
+    assert wide.pick(P.Shape([[runs[0]], runs[:2], runs[:2]])) == [0, 1, 2]
     for policy in (P.SimpleLeveled(), P.Leveled(base_size=4), P.Tiered(num_tiers=3)):
         out = P.simulate(policy, 40)
         assert out["write_amplification"] >= 1 and out["sorted_runs"] < 10
