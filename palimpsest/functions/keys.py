@@ -84,6 +84,13 @@ def expire_at(now: int, ttl_seconds: float) -> int:
     return min(now + math.ceil(ttl_seconds), 2**63 - 1)
 
 
+def expiry(now: Column | str, ttl_seconds: Column | str) -> Column:
+    """expire_at() of columns: seconds of the clock and of the time to live."""
+    now, ttl = (F.col(x) if isinstance(x, str) else x for x in (now, ttl_seconds))
+    last = F.lit(2**63 - 1)
+    return F.when(F.ceil(ttl) > last - now, last).otherwise(now + F.ceil(ttl)).cast("bigint")
+
+
 def value_entry_size(key: Column | str, value: Column | str) -> Column:
     """Bytes of a separated value's record: header, key and value, padded to eight."""
     return (F.ceil((24 + F.octet_length(key) + F.octet_length(value)) / 8) * 8).cast("long")

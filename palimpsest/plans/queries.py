@@ -18,10 +18,12 @@ from pyspark.sql.window import Window
 from palimpsest.functions import keys
 from palimpsest.operators import compaction, intervals, stats, valuelog
 from palimpsest.operators import resolve as R
-from palimpsest.store import Options, VersionedStore
+from palimpsest.plans import policies
+from palimpsest.store import Options, VersionedStore, local_rows
 from palimpsest.streaming.ingest import ingest, latest
 
-AT = 9000
+#: The read timestamp of the queries: nine tenths of the log's last, so that all scales read the same share.
+AT_SQL = "(SELECT CAST(9 * (max(event_id) + 1) // 10 AS BIGINT) FROM events)"
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def present(spark: SparkSession, sf_dir: str) -> int:
+    """AT_SQL of a folder's events."""
+    return 9 * ((table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1) // 10
+
+
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "'u' || lpad(cast(user_id as string), 8, '0') as k",
@@ -67,7 +74,7 @@ rt AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS s, 'u' || lpad(CA
     CAST(event_id + 1 AS BIGINT) AS ts FROM events WHERE event_id % 997 = 3)"""
 
 
-def snap_sql(at: int = AT, name: str = "snap") -> str:
+def snap_sql(at: int | str = AT_SQL, name: str = "snap") -> str:
     return f"""{name} AS (SELECT k, v, ts FROM (SELECT log.*, row_number() OVER (PARTITION BY k ORDER BY ts DESC) rn FROM log WHERE ts <= {at}) top
     WHERE rn = 1 AND kind <> 2 AND (expire_at IS NULL OR expire_at > {at})
     AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.ts <= {at} AND top.k >= rt.s AND top.k < rt.e AND top.ts <= rt.ts))"""
@@ -87,29 +94,30 @@ def query(name: str, sql: str | None = None):
     return take
 
 
-def snap(spark: SparkSession, d: str, at: int = AT, bounds: R.Bounds = R.ALL) -> DataFrame:
+def snap(spark: SparkSession, d: str, at: int | None = None, bounds: R.Bounds = R.ALL) -> DataFrame:
+    at = present(spark, d) if at is None else at
     return R.snapshot(change_log(spark, d), tombstones(spark, d), at, at, bounds).select("k", "v", "ts")
 
 
-def with_snap(body: str, at: int = AT) -> str:
+def with_snap(body: str, at: int | str = AT_SQL) -> str:
     return f"WITH {LOG}, {snap_sql(at)} {body}"
 
 
-@query("r1_newest_version", f"WITH {LOG} SELECT k, ts, kind FROM log WHERE ts <= {AT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1")
+@query("r1_newest_version", f"WITH {LOG} SELECT k, ts, kind FROM log WHERE ts <= {AT_SQL} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1")
 def r1(spark, d):
-    return R.newest(change_log(spark, d), AT).select("k", "ts", F.col("kind").cast("int").alias("kind"))
+    return R.newest(change_log(spark, d), present(spark, d)).select("k", "ts", F.col("kind").cast("int").alias("kind"))
 
 
-@query("r2_point_tombstones", f"""WITH {LOG}, t AS (SELECT * FROM log WHERE ts <= {AT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1)
+@query("r2_point_tombstones", f"""WITH {LOG}, t AS (SELECT * FROM log WHERE ts <= {AT_SQL} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1)
 SELECT k, ts FROM t WHERE kind <> 2""")
 def r2(spark, d):
-    return R.live(R.newest(change_log(spark, d), AT)).select("k", "ts")
+    return R.live(R.newest(change_log(spark, d), present(spark, d))).select("k", "ts")
 
 
-@query("r3_ttl", f"""WITH {LOG}, t AS (SELECT * FROM log WHERE ts <= {AT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1)
-SELECT k, ts FROM t WHERE kind <> 2 AND (expire_at IS NULL OR expire_at > {AT})""")
+@query("r3_ttl", f"""WITH {LOG}, t AS (SELECT * FROM log WHERE ts <= {AT_SQL} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1)
+SELECT k, ts FROM t WHERE kind <> 2 AND (expire_at IS NULL OR expire_at > {AT_SQL})""")
 def r3(spark, d):
-    return R.live(R.newest(change_log(spark, d), AT), AT).select("k", "ts")
+    return R.live(R.newest(change_log(spark, d), present(spark, d)), present(spark, d)).select("k", "ts")
 
 
 @query("r4_range_tombstones", with_snap("SELECT k, v, ts FROM snap"))
@@ -119,17 +127,17 @@ def r4(spark, d):
 
 @query("s1_scan", with_snap("SELECT k, v FROM snap WHERE k >= 'u00000020' AND k < 'u00000090'"))
 def s1(spark, d):
-    return R.scan(change_log(spark, d), tombstones(spark, d), R.Bounds("u00000020", "u00000090"), AT, AT).select("k", "v")
+    return R.scan(change_log(spark, d), tombstones(spark, d), R.Bounds("u00000020", "u00000090"), present(spark, d), present(spark, d)).select("k", "v")
 
 
 @query("s1_scan_open_closed", with_snap("SELECT k, v FROM snap WHERE k > 'u00000020' AND k <= 'u00000090'"))
 def s1b(spark, d):
-    return R.scan(change_log(spark, d), tombstones(spark, d), R.Bounds("u00000020", "u00000090", True, False), AT, AT).select("k", "v")
+    return R.scan(change_log(spark, d), tombstones(spark, d), R.Bounds("u00000020", "u00000090", True, False), present(spark, d), present(spark, d)).select("k", "v")
 
 
 @query("s3_prefix_scan", with_snap("SELECT k, v FROM snap WHERE k LIKE 'u000000%'"))
 def s3(spark, d):
-    return R.prefix_scan(change_log(spark, d), "u000000", tombstones(spark, d), AT, AT).select("k", "v")
+    return R.prefix_scan(change_log(spark, d), "u000000", tombstones(spark, d), present(spark, d), present(spark, d)).select("k", "v")
 
 
 @query("s4_time_travel", with_snap("SELECT k, v, ts FROM snap", 400))
@@ -139,7 +147,7 @@ def s4(spark, d):
 
 @query("s6_get", with_snap("SELECT k, v, ts FROM snap WHERE k = 'u00000042'"))
 def s6(spark, d):
-    return R.get(change_log(spark, d), "u00000042", tombstones(spark, d), AT, AT).select("k", "v", "ts")
+    return R.get(change_log(spark, d), "u00000042", tombstones(spark, d), present(spark, d), present(spark, d)).select("k", "v", "ts")
 
 
 BATCH = "SELECT CAST(c_custkey AS BIGINT) AS ord, 'u' || lpad(CAST(c_custkey % 40 AS VARCHAR), 8, '0') AS k FROM customer"
@@ -148,7 +156,7 @@ BATCH = "SELECT CAST(c_custkey AS BIGINT) AS ord, 'u' || lpad(CAST(c_custkey % 4
 @query("s8_batch_get", with_snap(f"SELECT ord, b.k, v, snap.k IS NOT NULL AS found FROM ({BATCH}) b LEFT JOIN snap ON b.k = snap.k"))
 def s8(spark, d):
     asked = table(spark, d, "customer").selectExpr("c_custkey as ord", "'u' || lpad(cast(c_custkey % 40 as string), 8, '0') as k")
-    return R.batch_get(change_log(spark, d), asked, tombstones(spark, d), AT, AT).select("ord", "k", "v", "found")
+    return R.batch_get(change_log(spark, d), asked, tombstones(spark, d), present(spark, d), present(spark, d)).select("ord", "k", "v", "found")
 
 
 @query("s10_exact_version", f"WITH {LOG} SELECT k, ts, v FROM log WHERE k = (SELECT k FROM log WHERE ts = 77) AND ts = 77")
@@ -157,11 +165,11 @@ def s10(spark, d):
     return R.get_exact(change_log(spark, d), k, 77).select("k", "ts", "v")
 
 
-@query("s11_get_with_kind", f"""WITH {LOG} SELECT k, kind, ts, expire_at FROM log WHERE k IN ('u00000003', 'u00000004', 'u00000005') AND ts <= {AT}
+@query("s11_get_with_kind", f"""WITH {LOG} SELECT k, kind, ts, expire_at FROM log WHERE k IN ('u00000003', 'u00000004', 'u00000005') AND ts <= {AT_SQL}
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC) = 1""")
 def s11(spark, d):
     log = change_log(spark, d).where(F.col("k").isin("u00000003", "u00000004", "u00000005"))
-    return R.newest(log, AT).select("k", F.col("kind").cast("int").alias("kind"), "ts", "expire_at")
+    return R.newest(log, present(spark, d)).select("k", F.col("kind").cast("int").alias("kind"), "ts", "expire_at")
 
 
 @query("s13_parallel_scan", with_snap("SELECT k, v, ts FROM snap"))
@@ -209,9 +217,9 @@ def p13(spark, d):
     return change_log(spark, d).where(compaction.PrefixFilter(1, "u0000001", 5000).matches()).select("k", "ts")
 
 
-@query("p16_overlap_visible", f"WITH {LOG} SELECT count(*) > 0 AS overlaps FROM rt WHERE s < 'u00000060' AND e > 'u00000050' AND ts <= {AT}")
+@query("p16_overlap_visible", f"WITH {LOG} SELECT count(*) > 0 AS overlaps FROM rt WHERE s < 'u00000060' AND e > 'u00000050' AND ts <= {AT_SQL}")
 def p16(spark, d):
-    return intervals.overlapping(tombstones(spark, d), "u00000050", "u00000060", AT).agg((F.count("*") > 0).alias("overlaps"))
+    return intervals.overlapping(tombstones(spark, d), "u00000050", "u00000060", present(spark, d)).agg((F.count("*") > 0).alias("overlaps"))
 
 
 @query("p17_overlapping_tombstones", f"WITH {LOG} SELECT s AS start, e AS \"end\", ts FROM rt WHERE s < 'u00000090' AND e > 'u00000010'")
@@ -228,7 +236,7 @@ def p18(spark, d):
 def j1(spark, d):
     log = change_log(spark, d)
     parts = [log.where(F.pmod(F.col("ts"), F.lit(3)) == i) for i in range(3)]
-    return R.snapshot(R.merge(*parts), tombstones(spark, d), AT, AT).select("k", "v", "ts")
+    return R.snapshot(R.merge(*parts), tombstones(spark, d), present(spark, d), present(spark, d)).select("k", "v", "ts")
 
 
 OWN = "SELECT 'u' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS k, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS kind, c_acctbal AS v FROM customer WHERE c_custkey < 60"
@@ -245,22 +253,22 @@ def j2(spark, d):
 
 @query("j4_fragment_suppression", with_snap("SELECT k, v, ts FROM snap"))
 def j4(spark, d):
-    top = R.live(R.newest(change_log(spark, d), AT), AT)
-    return R.uncovered(top, tombstones(spark, d), AT, few=0).select("k", "v", "ts")
+    top = R.live(R.newest(change_log(spark, d), present(spark, d)), present(spark, d))
+    return R.uncovered(top, tombstones(spark, d), present(spark, d), few=0).select("k", "v", "ts")
 
 
-@query("j5_asof_cover", f"""WITH {LOG} SELECT k, log.ts, (SELECT max(rt.ts) FROM rt WHERE rt.s <= k AND k < rt.e AND rt.ts <= {AT}) AS cover_ts
-FROM (SELECT * FROM log WHERE ts <= 3000) log""")
+@query("j5_asof_cover", f"""WITH {LOG} SELECT k, log.ts, (SELECT max(rt.ts) FROM rt WHERE rt.s <= k AND k < rt.e AND rt.ts <= {AT_SQL}) AS cover_ts
+FROM log""")
 def j5(spark, d):
-    rows = change_log(spark, d).where("ts <= 3000").select("k", "ts")
-    return intervals.cover(rows, intervals.fragment(tombstones(spark, d)), AT)
+    rows = change_log(spark, d).select("k", "ts")
+    return intervals.cover(rows, intervals.fragment(tombstones(spark, d)), present(spark, d))
 
 
 @query("j10_occ_conflicts", f"""WITH {LOG} SELECT DISTINCT c_custkey % 40 AS reader FROM customer
-JOIN log ON log.k = 'u' || lpad(CAST(c_custkey % 40 AS VARCHAR), 8, '0') AND log.ts > {AT}""")
+JOIN log ON log.k = 'u' || lpad(CAST(c_custkey % 40 AS VARCHAR), 8, '0') AND log.ts > {AT_SQL}""")
 def j10(spark, d):
     reads = table(spark, d, "customer").selectExpr("c_custkey % 40 as reader", "'u' || lpad(cast(c_custkey % 40 as string), 8, '0') as k").distinct()
-    return reads.join(change_log(spark, d).where(F.col("ts") > AT), "k", "left_semi").select("reader")
+    return reads.join(change_log(spark, d).where(F.col("ts") > present(spark, d)), "k", "left_semi").select("reader")
 
 
 SEG = "seg AS (SELECT CAST((ts - 1) // 1000 AS BIGINT) AS id, min(k) AS f, max(k) AS l, count(*) AS n FROM log GROUP BY 1)"
@@ -411,9 +419,12 @@ def t4(spark, d):
 
 
 @query("t5_pick_candidate", f"""WITH {LOG} SELECT CAST((ts - 1) // 1000 AS BIGINT) AS id FROM log GROUP BY 1
-ORDER BY count(*) FILTER (WHERE kind = 2) DESC, count(*) - count(DISTINCT k) DESC, id LIMIT 1""")
+ORDER BY count(*) FILTER (WHERE kind = 2) + count(*) - count(DISTINCT k) DESC, count(*) FILTER (WHERE kind = 2) DESC, id LIMIT 1""")
 def t5(spark, d):
-    return segments(spark, d).orderBy(F.desc("tombstones"), F.desc("redundant"), "id").limit(1).select("id")
+    # the policies work on the manifest's rows, one a segment
+    rows = segments(spark, d).select("id", "tombstones", "redundant").collect()
+    best = policies.garbage_candidate(policies.Shape([[policies.Run(r.id, "", "", tombstones=r.tombstones, redundant=r.redundant) for r in rows]]), 0)
+    return local_rows(spark, [(best.id,)] if best else [], "id bigint")
 
 
 @query("f5_encoded_length", "SELECT o_orderpriority AS k, CAST((strlen(o_orderpriority) // 8 + 1) * 9 + 8 AS BIGINT) AS n FROM orders GROUP BY ALL")
@@ -423,7 +434,7 @@ def f5(spark, d):
 
 @query("f9_expire_at", "SELECT event_id, CAST(event_id + ceil(value) AS BIGINT) AS expire_at FROM events WHERE event_type = 'purchase'")
 def f9(spark, d):
-    return table(spark, d, "events").where("event_type = 'purchase'").selectExpr("event_id", "cast(event_id + ceil(value) as bigint) as expire_at")
+    return table(spark, d, "events").where("event_type = 'purchase'").select("event_id", keys.expiry("event_id", "value").alias("expire_at"))
 
 
 @query("f12_value_entry_size", "SELECT doc_id, CAST(ceil((24 + 8 + strlen(text)) / 8.0) * 8 AS BIGINT) AS size FROM documents")
@@ -460,8 +471,8 @@ def m1b(spark, d):
 
 @query("m2_full_compaction_keeps_view", with_snap("SELECT k, v, ts FROM snap"))
 def m2(spark, d):
-    log, rt = change_log(spark, d).where(F.col("ts") <= AT), tombstones(spark, d).where(F.col("ts") <= AT)
-    return R.snapshot(compaction.compact(log, rt, AT, now=AT), None, AT, AT).select("k", "v", "ts")
+    log, rt = change_log(spark, d).where(F.col("ts") <= present(spark, d)), tombstones(spark, d).where(F.col("ts") <= present(spark, d))
+    return R.snapshot(compaction.compact(log, rt, present(spark, d), now=present(spark, d)), None, present(spark, d), present(spark, d)).select("k", "v", "ts")
 
 
 @query("a14_digest_balance", "SELECT true AS balanced")
