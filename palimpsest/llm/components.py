@@ -122,10 +122,17 @@ def link_buckets(
             # the centre: the lowest rank at first, later the lowest by a hash of the round
             rank = F.col("rank") if not step else F.xxhash64("node", F.lit(step))
             by = full.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "node")).alias("top"))
+            if step == rounds:
+                # a pair comes up in the first only of the buckets that it shares
+                full = full.join(full.groupBy("node").agg(F.collect_set("bucket").alias("own")), "node")
+            else:
+                full = full.withColumn("own", F.lit(None).cast("array<bigint>"))
             partner = full.join(by, "bucket").where("true" if step == rounds else f"n <= {few} or node = top.node")
-            partner = partner.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("c").alias("d"), F.lit(step == rounds).alias("all") | (F.col("n") <= few))
-            partner = partner.toDF("bucket", "b", "y", "d", "every")
-            pairs = full.join(partner, "bucket").where("if(every, c < d, c <> d)").where(may_link("x", "y")).select(F.col("node").alias("a"), "b")
+            partner = partner.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("c").alias("d"), F.lit(step == rounds) | (F.col("n") <= few), "own")
+            partner = partner.toDF("bucket", "b", "y", "d", "every", "other")
+            met = full.join(partner, "bucket").where("if(every, c < d, c <> d)").where(may_link("x", "y"))
+            met = met.where("other is null or array_min(array_intersect(own, other)) = bucket")
+            pairs = met.select(F.col("node").alias("a"), "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs, "pairs")
         if pairs.isEmpty():

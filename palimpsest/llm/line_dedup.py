@@ -3,11 +3,11 @@
 A line is normalised to its words (letters and digits, A-Z lower-cased, each digit a 0) with single
 spaces. Lines of equal normal form are one class. Two classes are linked when the edit distance of
 the normal forms is at most 1 - SIMILARITY of the longer one. A candidate pair shares a bucket
-and, unless a line has at most SHORT characters, has 64-bit SimHash values, over words, at most
-DISTANCE bits apart.
+and, unless a line has at most SHORT characters, has 128-bit SimHash values, over words, at
+most DISTANCE bits apart.
 
-Buckets are not blocks of the SimHash: the links need a DISTANCE of 14 (see the README for recall by
-distance), and of 15 blocks of 64 bits one that agrees has 4 bits, which nearly all lines share.
+Buckets are not blocks of the SimHash: the links need a DISTANCE of 24 (see the README for recall by
+distance), and of 25 blocks of 128 bits one that agrees has 5 bits, which nearly all lines share.
 Instead each of BANDS buckets takes the least values of VALUES hashes of a line's pairs of words, in
 lines of up to SHORT characters of its windows of WIDTH bytes; an edit that leaves the lines similar
 leaves one of them, nearly always. Lines of LONG to SHORT characters, which may be linked to either,
@@ -31,7 +31,7 @@ from palimpsest.llm import kernel
 from palimpsest.llm.common import Scratch, asked, named, slot_table
 from palimpsest.llm.components import link_buckets
 
-DISTANCE, SIMILARITY = 14, 0.9
+DISTANCE, SIMILARITY = 24, 0.9
 #: Buckets of a line, and least values in each.
 BANDS, VALUES = 10, 3
 LONG, SHORT, WIDTH = 54, 60, 4
@@ -70,19 +70,21 @@ class Lines:
         return sums[high] - sums[low] + (high - low - 1)
 
     def simhash(self) -> np.ndarray:
-        """Of the lines with words: each bit as most of the words' hashes have it."""
-        out, step = np.zeros(len(self.some), np.uint64), 1 << 12
+        """Of the lines with words two columns of 64 bits, each bit as most of the words' hashes have it."""
+        out, step = np.zeros((len(self.some), 2), np.uint64), 1 << 12
         low, high = self.words.first[:-1][self.some], self.words.first[1:][self.some]
         for at in range(0, len(self.some), step):
             a, b = low[at : at + step], high[at : at + step]
-            lanes = _LANES[self.words.hash[a[0] : b[-1]].view(np.uint8).reshape(-1, 8)]
             # eight counts of a byte in each sum, so of at most 255 words
-            part = kernel.ranges(a, -(-(b - a) // 255))
             parts = -(-(b - a) // 255)
+            part = kernel.ranges(a, parts)
             starts = np.repeat(a, parts) + 255 * (part - np.repeat(a, parts))
-            sums = np.add.reduceat(lanes, starts - a[0], axis=0).view(np.uint8).reshape(-1, 64)
-            sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
-            out[at : at + step] = np.packbits(2 * sums > (b - a)[:, None], axis=1).view(np.uint64).reshape(-1)
+            own = self.words.hash[a[0] : b[-1]]
+            for half, hashes in enumerate((own, kernel.mix(own))):
+                lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
+                sums = np.add.reduceat(lanes, starts - a[0], axis=0).view(np.uint8).reshape(-1, 64)
+                sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+                out[at : at + step, half] = np.packbits(2 * sums > (b - a)[:, None], axis=1).view(np.uint64).reshape(-1)
         return out
 
     @cached_property
@@ -129,7 +131,7 @@ class Lines:
         return line[order], bucket[order]
 
 
-SIGNED = "doc_id long, key long, number long, node long, sketch long, length long, buckets array<long>"
+SIGNED = "doc_id long, key long, number long, node long, sketch long, other long, length long, buckets array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -145,17 +147,19 @@ def sign(docs: DataFrame) -> DataFrame:
                 once[np.unique(lines.node, return_index=True)[1]] = True
                 bucket = bucket[once[own]]
                 bounds = np.concatenate(([0], np.cumsum(np.bincount(own, once[own], len(lines.some))))).astype(np.int32)
+                sketch = kernel.signed(lines.simhash())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[low:high].take(row),
                         batch.column(1)[low:high].take(row),
                         pa.array(lines.number[lines.some]),
                         pa.array(kernel.signed(lines.node)),
-                        pa.array(kernel.signed(lines.simhash())),
+                        pa.array(sketch[:, 0].copy()),
+                        pa.array(sketch[:, 1].copy()),
                         pa.array(lines.lengths),
                         pa.ListArray.from_arrays(bounds, pa.array(kernel.signed(bucket))),
                     ],
-                    names=["doc_id", "key", "number", "node", "sketch", "length", "buckets"],
+                    names=["doc_id", "key", "number", "node", "sketch", "other", "length", "buckets"],
                 )
 
     return docs.mapInArrow(run, SIGNED)
@@ -228,10 +232,10 @@ def confirm(pairs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, key, numbers): for each document of (doc_id, key, text) the lines that others stand for."""
     lines = scratch.keep(sign(docs), "lines")
-    same = ["node", "sketch", "length"]  # 64 bits of a hash, the SimHash and the length
+    same = ["node", "sketch", "other", "length"]  # 64 bits of a hash, 128 of the SimHash and the length
     here = F.struct("doc_id", "key", "number")
     classes = scratch.keep(lines.groupBy(*same).agg(F.min(here).alias("first"), F.count("*").alias("n")), "classes")
-    nodes = classes.select("node", F.lit(0).alias("rank"), F.struct("sketch", "length").alias("x"))
+    nodes = classes.select("node", F.lit(0).alias("rank"), F.struct("sketch", "other", "length").alias("x"))
     texts: list[DataFrame] = []
 
     def deal(_: int, component: DataFrame | None, rest: DataFrame | None) -> DataFrame:
@@ -243,7 +247,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def may_link(x: str, y: str) -> str:
         # a word is too much of a short line's SimHash
-        close = f"(bit_count({x}.sketch ^ {y}.sketch) <= {DISTANCE} or least({x}.length, {y}.length) <= {SHORT})"
+        close = f"(bit_count({x}.sketch ^ {y}.sketch) + bit_count({x}.other ^ {y}.other) <= {DISTANCE} or least({x}.length, {y}.length) <= {SHORT})"
         return f"{close} and least({x}.length, {y}.length) >= {SIMILARITY} * greatest({x}.length, {y}.length)"
 
     def verify(pairs: DataFrame, rest: DataFrame) -> DataFrame:
@@ -253,13 +257,13 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         both = pairs.join(known.selectExpr("node as a", "line as la"), "a").join(known.selectExpr("node as b", "line as lb"), "b")
         return confirm(both)
 
-    component = link_buckets(deal, nodes, may_link, verify, scratch)
+    component = link_buckets(deal, nodes, may_link, verify, scratch, rounds=3)
     # a class without links is told by all of `same`, so that others join it by no chance
     grouped = classes.join(component, "node", "left").select(
         *same, "first", "n", F.coalesce("component", "node").alias("c"),
         *[F.when(F.col("component").isNull(), F.col(x)).otherwise(0).alias(f"own_{x}") for x in same[1:]],
     )
-    group = ["c", "own_sketch", "own_length"]
+    group = ["c", *[f"own_{x}" for x in same[1:]]]
     counted = grouped.groupBy(*group).agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     copies = scratch.keep(grouped.select(*same, *group).join(counted, group).select(*same, "first"), "copies")
     again = lines.select(*same, "doc_id", "key", "number").join(copies, same).where(
