@@ -13,6 +13,8 @@ matched pairs of neighbours among those that either text has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +23,7 @@ from palimpsest.llm.common import bucket_of, cut_points, named
 
 K = 4
 #: Ranges of ids hold about so many bytes of text each; there are at least FEWEST and at most MOST of them.
-RANGE_BYTES, FEWEST, MOST = 64 << 20, 64, 1024
-NONE = "array<struct<at:int,hash:bigint>>"
+RANGE_BYTES, FEWEST, MOST = 16 << 20, 64, 1024
 
 
 def words(text: Column) -> Column:
@@ -31,7 +32,7 @@ def words(text: Column) -> Column:
 
 
 def anchors(units: Column) -> Column:
-    """(at, hash) of the closed syncmers of an array of strings, by place; fewer than K units, but not none, are one."""
+    """(at, hash) of the closed syncmers of an array of strings: two arrays, by place. Fewer than K units, but not none, are one."""
     hashes = F.transform(units, lambda x: F.xxhash64(x))
 
     def chosen(h: Column) -> Column:
@@ -39,34 +40,33 @@ def anchors(units: Column) -> Column:
             F.sequence(F.lit(0), F.size(h) - K),
             lambda i: F.least(h[i], h[i + (K - 1)]) <= F.least(*[h[i + j] for j in range(1, K - 1)]),
         )
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash")))
+        hashed = lambda x: F.transform(x, lambda i: F.xxhash64(*[h[i + j] for j in range(K)]))
+        return bound(at, lambda x: F.struct(x.alias("at"), hashed(x).alias("hash")))
 
-    # bound once: without the one-row transform each use of the hashes would compute them anew
-    found = F.transform(
-        F.array(hashes),
+    return bound(
+        hashes,
         lambda h: F.when(F.size(h) >= K, chosen(h))
-        .when(F.size(h) > 0, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(h).alias("hash"))))
-        .otherwise(F.array().cast(NONE)),
+        .when(F.size(h) > 0, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.xxhash64(h)).alias("hash")))
+        .otherwise(F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<bigint>").alias("hash"))),
     )
-    return F.element_at(found, 1)
 
 
-def neighbours(found: Column) -> Column:
-    """A hash of each two anchors in a row and their distance; a lone anchor is one."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: a transform of one row, as each use would compute it anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def pairs(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: F.xxhash64(a[i]["hash"], a[i + 1]["hash"], a[i + 1]["at"] - a[i]["at"]))
 
-    out = F.transform(
-        F.array(found),
-        lambda a: F.when(F.size(a) > 1, F.array_distinct(pairs(a))).otherwise(F.transform(a, lambda x: F.xxhash64(x["hash"]))),
-    )
-    return F.element_at(out, 1)
+def neighbours(found: Column) -> Column:
+    """A hash of each two anchors in a row and their distance; a lone anchor is one."""
+    at, hashes = found["at"], found["hash"]
+    pairs = F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.xxhash64(hashes[i], hashes[i + 1], at[i + 1] - at[i]))
+    return F.when(F.size(at) > 1, F.array_distinct(pairs)).otherwise(F.transform(hashes, lambda x: F.xxhash64(x)))
 
 
 def as_string(found: Column) -> Column:
     """A fingerprint as text: place and hash, in hex, of each anchor."""
-    return F.array_join(F.transform(found, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), F.lower(F.hex(x["hash"])))), ",")
+    hashes = found["hash"]
+    return F.array_join(F.transform(found["at"], lambda x, i: F.concat(x.cast("string"), F.lit(":"), F.lower(F.hex(hashes[i])))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,7 +85,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = min(MOST, max(FEWEST, size // RANGE_BYTES))
     cuts = cut_points(docs, "doc_id", ranges)
-    dealt = docs.withColumn("range", bucket_of(F.col("doc_id"), cuts))
+    # a fixed number of partitions: fingerprints outgrow the texts, so small partitions must not be put together again
+    dealt = docs.withColumn("range", bucket_of(F.col("doc_id"), cuts)).repartition(ranges, "range")
     within = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     inside = dealt.withColumn("next_text", F.lead("text").over(within))
     ids = docs.select("doc_id").groupBy(bucket_of(F.col("doc_id"), cuts)).agg(F.min("doc_id").alias("id")).collect()
