@@ -77,6 +77,7 @@ def link_buckets(
     rounds: int = 2,
     few: int = FEW,
     last: Callable[[DataFrame], DataFrame] | None = None,
+    sift: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the nodes that verified links join: (node, component) for linked nodes.
 
@@ -89,6 +90,9 @@ def link_buckets(
     is part of the join, so other pairs are never made.
     verify: takes distinct pairs (a, b) and the open rows of the round, whose nodes hold those of all
     later rounds that deal the same buckets, and returns the pairs that are links.
+    sift: takes some buckets (bucket) of the first round and returns its rows that are in them, or few
+    more; all rounds deal the same buckets then. So the many rows of other buckets are counted, but
+    never sorted or moved as rows.
 
     A bucket whose nodes are all in one component needs no pairs: they cannot change the result. Of
     the others, those with up to `few` nodes compare all of these, a bounded number for a row; in a
@@ -99,11 +103,19 @@ def link_buckets(
     """
     edges = component = rest = None
     for step in range(rounds + 1):
+        before = rest
         if step < rounds:
-            state = scratch.keep(often(deal(step, component, rest)), "dealt")
+            state = deal(step, component, rest)
+            if sift is None:
+                state = scratch.keep(often(state), "dealt")
             open_ = state.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+            if sift is not None and not step:
+                open_ = scratch.keep(open_, "several")
+                state = sift(open_)
             # rows of open buckets are few beside all rows: only these meet what the condition looks at
             rest = scratch.keep(state.join(open_, "bucket").distinct(), "open")
+            if sift is None:
+                scratch.drop(state)
         else:
             if edges is not None:
                 edges = converge(edges, scratch)
@@ -111,14 +123,17 @@ def link_buckets(
                 rest = rest.drop("c").join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             open_ = rest.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where(f"low <> high and n > {few}")
             rest = scratch.keep(rest.select("bucket", "node", "c").join(open_.select("bucket"), "bucket"), "open")
+        if before is not None:
+            scratch.drop(before)
         if rest.isEmpty():
             if step < rounds - 1:
                 continue  # the next round deals other buckets
             break
+        full = None
         if step == rounds and last is not None:
             pairs = last(rest.join(nodes, "node").select("bucket", "node", "x", "c"))
         else:
-            full = scratch.keep(rest.join(nodes, "node").select("bucket", "node", "rank", "x", "c"), "members")
+            full = members = scratch.keep(rest.join(nodes, "node").select("bucket", "node", "rank", "x", "c"), "members")
             # the centre: the lowest rank at first, later the lowest by a hash of the round
             rank = F.col("rank") if not step else F.xxhash64("node", F.lit(step))
             by = full.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "node")).alias("top"))
@@ -135,10 +150,15 @@ def link_buckets(
             pairs = met.select(F.col("node").alias("a"), "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs, "pairs")
+        if full is not None:
+            scratch.drop(members)
         if pairs.isEmpty():
             continue  # no centre has a new candidate; other members of a bucket may still have some
         found = downward(verify(pairs, rest)).distinct()
-        edges = star_step(scratch.keep(found if edges is None else edges.unionByName(found), "links"), scratch)
+        links = scratch.keep(found if edges is None else edges.unionByName(found), "links")
+        scratch.drop(pairs)
+        edges = star_step(links, scratch)
+        scratch.drop(links)
         # not the whole components yet, but the same label only within one
         component = scratch.keep(labels(edges), "labels")
     if edges is None:

@@ -4,7 +4,9 @@ A line is normalised to its words (letters and digits, A-Z lower-cased, each dig
 spaces. Lines of equal normal form are one class. Two classes are linked when the edit distance of
 the normal forms is at most 1 - SIMILARITY of the longer one. A candidate pair shares a bucket
 and, unless a line has at most SHORT characters, has 128-bit SimHash values, over words, at
-most DISTANCE bits apart.
+most DISTANCE bits apart. An edit changes at most 4 of a line's pairs of neighbouring characters, so
+the parities of how often these occur, by hash in 128 counts, differ in at most 4 times as many bits
+as there are edits: this bound loses no pair, and rules out nearly all that meet by chance.
 
 Buckets are not blocks of the SimHash: the links need a DISTANCE of 24 (see the README for recall by
 distance), and of 25 blocks of 128 bits one that agrees has 5 bits, which nearly all lines share.
@@ -30,11 +32,14 @@ from pyspark.sql import functions as F
 from palimpsest.llm import kernel
 from palimpsest.llm.common import Scratch, asked, named, slot_table
 from palimpsest.llm.components import link_buckets
+from palimpsest.llm.pretoken import code_points
 
 DISTANCE, SIMILARITY = 24, 0.9
 #: Buckets of a line, and least values in each.
 BANDS, VALUES = 10, 3
 LONG, SHORT, WIDTH = 54, 60, 4
+#: Characters up to which lines have parities: beyond, so many edits are allowed that they rule little out.
+EVEN = 200
 WORD_BYTES = kernel.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _FACTORS = kernel.mix(np.arange(BANDS * VALUES, dtype=np.uint64)) | np.uint64(1)
 #: The bits of a byte, first to last, as bytes.
@@ -99,6 +104,29 @@ class Lines:
         sums = np.concatenate(([0], np.cumsum(keep)))
         return data[keep], np.append(sums[w.start[w.first[:-1][self.some]]], sums[-1])
 
+    def parity(self) -> np.ndarray:
+        """Of the lines with words two columns of 64 bits: which of 128 counts of pairs of characters are odd.
+
+        Lines of more than EVEN characters have none.
+        """
+        out = np.zeros((len(self.some), 2), np.uint64)
+        own = np.flatnonzero(self.lengths <= EVEN)
+        if not len(own):
+            return out
+        data, at = self.normal
+        size = at[own + 1] - at[own]
+        points, lead = code_points(data[kernel.ranges(at[own], size)])
+        start = np.searchsorted(lead, np.cumsum(size) - size)
+        mixed = points * np.uint32(0x9E3779B1)
+        mixed[:-1] += points[1:] * np.uint32(0x85EBCA77)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+        bit = np.uint64(1) << ((mixed >> np.uint32(25)) & np.uint32(63)).astype(np.uint64)
+        bit[np.append(start[1:], len(points)) - 1] = 0  # a line's last character heads no pair
+        high = mixed >> np.uint32(31) == 1
+        for half, part in enumerate((~high, high)):
+            out[own, half] = np.bitwise_xor.reduceat(np.where(part, bit, np.uint64(0)), start)
+        return out
+
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
         """(index into some, bucket), BANDS for each line, or twice as many; by line."""
         length = self.lengths
@@ -131,7 +159,7 @@ class Lines:
         return line[order], bucket[order]
 
 
-SIGNED = "doc_id long, key long, number long, node long, sketch long, other long, length long, buckets array<long>"
+SIGNED = "doc_id long, key long, number long, node long, sketch long, other long, odd long, odder long, length long, buckets array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -147,7 +175,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 once[np.unique(lines.node, return_index=True)[1]] = True
                 bucket = bucket[once[own]]
                 bounds = np.concatenate(([0], np.cumsum(np.bincount(own, once[own], len(lines.some))))).astype(np.int32)
-                sketch = kernel.signed(lines.simhash())
+                sketch, odd = kernel.signed(lines.simhash()), kernel.signed(lines.parity())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[low:high].take(row),
@@ -156,15 +184,34 @@ def sign(docs: DataFrame) -> DataFrame:
                         pa.array(kernel.signed(lines.node)),
                         pa.array(sketch[:, 0].copy()),
                         pa.array(sketch[:, 1].copy()),
+                        pa.array(odd[:, 0].copy()),
+                        pa.array(odd[:, 1].copy()),
                         pa.array(lines.lengths),
                         pa.ListArray.from_arrays(bounds, pa.array(kernel.signed(bucket))),
                     ],
-                    names=["doc_id", "key", "number", "node", "sketch", "other", "length", "buckets"],
+                    names=["doc_id", "key", "number", "node", "sketch", "other", "odd", "odder", "length", "buckets"],
                 )
 
     return docs.mapInArrow(run, SIGNED)
 
 
+def in_buckets(lines: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(bucket, node, c): the lines' rows of some buckets, and few more; c is the node."""
+    table, n = slot_table(buckets, "bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1)
+            size = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            bucket = own.flatten().to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(asked(table.value, n, bucket))
+            row = np.searchsorted(np.cumsum(size), hit, "right")
+            node = batch.column(0).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[hit]), node, node], names=["bucket", "node", "c"])
+
+    return lines.select("node", "buckets").where("size(buckets) > 0").mapInArrow(run, "bucket long, node long, c long")
+
+
 def normal_forms(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line): the normal forms of some classes."""
     table, n = slot_table(nodes, "node")
@@ -233,9 +280,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, key, numbers): for each document of (doc_id, key, text) the lines that others stand for."""
     lines = scratch.keep(sign(docs), "lines")
     same = ["node", "sketch", "other", "length"]  # 64 bits of a hash, 128 of the SimHash and the length
-    here = F.struct("doc_id", "key", "number")
-    classes = scratch.keep(lines.groupBy(*same).agg(F.min(here).alias("first"), F.count("*").alias("n")), "classes")
-    nodes = classes.select("node", F.lit(0).alias("rank"), F.struct("sketch", "other", "length").alias("x"))
+    # counts and longs only, which a hash aggregation can hold
+    classes = scratch.keep(lines.groupBy(*same).agg(F.min("odd").alias("odd"), F.min("odder").alias("odder"), F.count("*").alias("n")), "classes")
+    nodes = classes.select("node", F.lit(0).alias("rank"), F.struct("sketch", "other", "odd", "odder", "length").alias("x"))
     texts: list[DataFrame] = []
 
     def deal(_: int, component: DataFrame | None, rest: DataFrame | None) -> DataFrame:
@@ -248,7 +295,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def may_link(x: str, y: str) -> str:
         # a word is too much of a short line's SimHash
         close = f"(bit_count({x}.sketch ^ {y}.sketch) + bit_count({x}.other ^ {y}.other) <= {DISTANCE} or least({x}.length, {y}.length) <= {SHORT})"
-        return f"{close} and least({x}.length, {y}.length) >= {SIMILARITY} * greatest({x}.length, {y}.length)"
+        longer = f"greatest({x}.length, {y}.length)"
+        odd = f"bit_count({x}.odd ^ {y}.odd) + bit_count({x}.odder ^ {y}.odder) <= 4 * cast({1 - SIMILARITY!r}D * {longer} + 1e-9D as int)"
+        return f"({longer} > {EVEN} or {odd}) and {close} and least({x}.length, {y}.length) >= {SIMILARITY} * {longer}"
 
     def verify(pairs: DataFrame, rest: DataFrame) -> DataFrame:
         if not texts:  # for later rounds too, whose buckets are among these
@@ -257,18 +306,20 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         both = pairs.join(known.selectExpr("node as a", "line as la"), "a").join(known.selectExpr("node as b", "line as lb"), "b")
         return confirm(both)
 
-    component = link_buckets(deal, nodes, may_link, verify, scratch, rounds=3)
+    component = link_buckets(deal, nodes, may_link, verify, scratch, rounds=3, sift=lambda buckets: in_buckets(lines, buckets))
     # a class without links is told by all of `same`, so that others join it by no chance
     grouped = classes.join(component, "node", "left").select(
-        *same, "first", "n", F.coalesce("component", "node").alias("c"),
+        *same, "n", F.coalesce("component", "node").alias("c"),
         *[F.when(F.col("component").isNull(), F.col(x)).otherwise(0).alias(f"own_{x}") for x in same[1:]],
     )
     group = ["c", *[f"own_{x}" for x in same[1:]]]
-    counted = grouped.groupBy(*group).agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    copies = scratch.keep(grouped.select(*same, *group).join(counted, group).select(*same, "first"), "copies")
-    again = lines.select(*same, "doc_id", "key", "number").join(copies, same).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("number") == F.col("first.number")))
-    )
+    counted = grouped.groupBy(*group).agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    copies = grouped.join(counted, group).select(*same, *group)
+    here = ["doc_id", "key", "number"]
+    copied = scratch.keep(lines.select(*same, *here).join(copies, same).select(*group, *here), "copied")
+    first = copied.groupBy(*group).agg(F.min(F.struct(*here)).alias("first")).select(*[F.col(f"first.{x}").alias(f"first_{x}") for x in here])
+    # by the line, not the group, whose lines may be very many
+    again = copied.join(first, F.expr(" and ".join(f"{x} <=> first_{x}" for x in here)), "left_anti")
     return again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.col("number").cast("int"))).alias("numbers"))
 
 

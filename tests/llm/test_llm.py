@@ -349,6 +349,36 @@ def test_op8_finds_lines_with_an_edited_word(spark):
         assert np.packbits(2 * bits.sum(0) > len(bits)).view(np.uint64)[0] == lines.simhash()[0, 0]
 
 
+def test_op8_parities_lose_no_link():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 4))) for _ in range(40)] + ["né", "日本"]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    for x in lines[:200]:
+        at = [rng.randrange(len(x)) for _ in range(rng.randrange(len(x) // 10 + 1))]
+        lines.append("".join(rng.choice(("", "é", "q", "zz")) if i in at else c for i, c in enumerate(x)))
+    data = "\n".join(lines).encode()
+    made = line_dedup.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    flat, at = made.normal
+    names = [flat[x:y].tobytes().decode() for x, y in zip(at[:-1], at[1:], strict=True)]
+    bits = np.unpackbits(made.parity().view(np.uint8), axis=1).astype(int)
+    apart = lambda i, j: int((bits[i] != bits[j]).sum())
+    for i, x in enumerate(names):
+        for j in range(i):
+            if max(len(x), len(names[j])) <= line_dedup.EVEN and (i - 300 == j or rng.random() < 0.05):
+                assert apart(i, j) <= 4 * line_dedup.edits(x, names[j])
+
+
+def test_op8_lines_that_meet_by_chance_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 4))) for _ in range(40)]
+    met, confirm = [], line_dedup.confirm
+    monkeypatch.setattr(line_dedup, "confirm", lambda pairs: met.append(pairs.count()) or confirm(pairs))
+    short = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    line_dedup.report(docs).collect()
+    assert sum(met) < 1500, met
+
+
 @pytest.mark.parametrize(("few", "rounds"), [(0, 1), (0, 2), (8, 2)])
 def test_buckets_lose_no_link(spark, few, rounds):
     # the first centre is far from both others, and so is each later centre but 2 or 3
