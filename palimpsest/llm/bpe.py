@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel
-from palimpsest.llm.pretoken import Encoder
+from palimpsest.llm.pretoken import Encoder, joined
 
 
 #: Entries of a worker's table of token pairs that may follow each other; it starts anew when full.
@@ -69,11 +69,15 @@ class Vocabulary:
         return [ranks[p] for p in parts]
 
     def _lengths(self) -> dict[bytes, tuple[int, ...]]:
-        """For each last byte pair (or byte), the lengths of the tokens that end so."""
+        """For each last three bytes (or two, or one), the lengths of the tokens that end so, the longest first.
+
+        What ends in three bytes that end no longer token is told by its last two, or has one byte.
+        """
         found: dict[bytes, set[int]] = {}
         for token in self.reached:
-            found.setdefault(token[-2:], set()).add(len(token))
-        return {k: tuple(sorted(v | {1}, reverse=True)) for k, v in found.items()}
+            found.setdefault(token[-3:], set()).add(len(token))
+        # three bytes also end in their last two
+        return {k: tuple(sorted(v | {1} | ({2} if k[-2:] in self.reached and len(k) > 1 else set()), reverse=True)) for k, v in found.items()}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging their joined bytes gives just these two tokens."""
@@ -109,7 +113,8 @@ class Vocabulary:
         reached, lengths, may_follow = self.reached, self.lengths, self.may_follow
         for end in range(keep + 1, len(text) + 1):
             pick = -1
-            for n in lengths.get(text[max(0, end - 2) : end], (1,)) if end > 1 else (1,):
+            some = lengths.get(text[max(0, end - 3) : end]) or lengths.get(text[end - 2 : end], (1,)) if end > 1 else (1,)
+            for n in some:
                 if n > end:
                     continue
                 token = reached.get(text[end - n : end])
@@ -165,7 +170,7 @@ def tools(path: str) -> tuple[Vocabulary, Encoder, Pool, Pool]:
     """Per worker: the vocabulary, the encoder with its cache, and the bytes and digits of the ids."""
     vocabulary = Vocabulary.load(path)
     digits = Pool([b"%d," % i for i in range(vocabulary.size)])
-    return vocabulary, Encoder(vocabulary.encode), Pool(vocabulary.bytes), digits
+    return vocabulary, Encoder(lambda tokens: joined(vocabulary.encode(tokens))), Pool(vocabulary.bytes), digits
 
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"

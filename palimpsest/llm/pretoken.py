@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -16,8 +17,8 @@ import regex
 from palimpsest.llm import kernel
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Entries of a worker's cache of pre-tokens; it starts anew when full.
-CACHE = 100_000
+#: Entries of a worker's cache of pre-tokens, of about 60 bytes each; when full, it drops those met only once.
+CACHE = 500_000
 
 
 @lru_cache
@@ -86,34 +87,47 @@ def token_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one list after the other, and the size of each list."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+
 class Encoder:
-    """Ids of whole texts by a function that encodes distinct pre-tokens; results are cached."""
+    """Ids of whole texts by a function that encodes distinct pre-tokens (see joined); results are cached."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[int, int] = {}
+        #: keys, ascending; the place of each one's ids in the pool, and whether it has been met again
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.filled = 0
-        self.at = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-
-    def _learn(self, keys: list[int], tokens: list[bytes]) -> None:
-        found = self.encode(tokens)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        n, more = len(self.seen), len(found)
+
+    def _forget(self) -> None:
+        """Keeps what has been met again, and of that only as much as leaves room for as many others."""
+        kept = np.flatnonzero(self.again)[: CACHE // 2]
+        ids, size = self.pool[kernel.ranges(self.at[kept], self.size[kept])], self.size[kept]
+        self.keys, self.size, self.at = self.keys[kept], size, np.cumsum(size) - size
+        self.again = np.zeros(len(kept), bool)
+        self.filled, self.pool = len(ids), np.concatenate((ids, np.zeros(1 << 16, np.uint32)))
+
+    def _learn(self, keys: np.ndarray, tokens: list[bytes]) -> None:
+        flat, sizes = self.encode(tokens)
         while self.filled + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + more > len(self.at):
-            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
         self.pool[self.filled : self.filled + len(flat)] = flat
-        self.at[n : n + more] = self.filled + np.cumsum(sizes) - sizes
-        self.size[n : n + more] = sizes
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, self.filled + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, place, sizes)
+        self.again = np.insert(self.again, place, False)
         self.filled += len(flat)
-        self.seen.update(zip(keys, range(n, n + more), strict=True))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): document d has ids[bounds[d]:bounds[d + 1]]."""
@@ -127,14 +141,20 @@ class Encoder:
         end = np.append(start[1:], len(data))
         keys = kernel.window_hash(kernel.prefix_sums(kernel._SYMBOL[data]), start, end)
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.seen) > CACHE:
-            self.clear()
-        wanted, seen = distinct.tolist(), self.seen
-        new = [i for i, key in enumerate(wanted) if key not in seen]
-        if new:
+        if len(self.keys) > CACHE:
+            self._forget()
+        row = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = row < len(self.keys)
+        known[inside] = self.keys[row[inside]] == distinct[inside]
+        self.again[row[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = data.tobytes()
-            self._learn([wanted[i] for i in new], [raw[start[j] : end[j]] for j in at[new]])
-        row = np.fromiter((seen[key] for key in wanted), np.int64, len(wanted))[back]
+            j = at[new]
+            self._learn(distinct[new], [raw[x:y] for x, y in zip(start[j].tolist(), end[j].tolist(), strict=True)])
+            row = np.searchsorted(self.keys, distinct)
+        row = row[back]
         size = self.size[row]
         ids = self.pool[kernel.ranges(self.at[row], size)]
         sums = np.concatenate(([0], np.cumsum(size)))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel
-from palimpsest.llm.pretoken import Encoder
+from palimpsest.llm.pretoken import Encoder, joined
 
 MAGIC = b"TOKP"
 BLOCK = 1 << 16
@@ -116,7 +116,7 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
-        self.cached = Encoder(lambda tokens: [x.ids for x in self._batch([t.decode() for t in tokens])])
+        self.cached = Encoder(lambda tokens: joined([x.ids for x in self._batch([t.decode() for t in tokens])]))
 
     def _batch(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)

@@ -276,6 +276,23 @@ def test_op7_equals_the_library(docs, rows, empty):
     assert pretoken.CACHE > 0
 
 
+def test_pretokens_met_again_outlast_a_full_cache(monkeypatch):
+    monkeypatch.setattr(pretoken, "CACHE", 40)
+    met = []
+
+    def encode(tokens):
+        met.extend(tokens)
+        return pretoken.joined([list(t) for t in tokens])
+
+    encoder = pretoken.Encoder(encode)
+    for i in range(200):
+        text = " often again" + "".join(f" x{chr(0x4E00 + 20 * i + j)}" for j in range(20))
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, bounds = encoder(data, np.array([0, len(data)]))
+        assert bytes(ids.tolist()) == text.encode() and bounds.tolist() == [0, len(data)]
+    assert met.count(b" often") == met.count(b" again") == 1 and len(met) == 2 + 20 * 200
+
+
 def test_op8_lines_equal_brute_force(docs, rows, empty):
     unique = {(i, t): None for i, t in by_id(rows)}
     lines, first, order = [], {}, [k for k in unique]
