@@ -36,6 +36,8 @@ BLOCK = 1 << 16
 #: Ids after which a file ends, at the next end of a document.
 FILE_IDS = 1 << 21
 BYTE, BIT = 0, 1
+#: Pre-tokens that go to the library as one text.
+PIECES = 200
 
 
 def to_planes(ids: np.ndarray, kind: int) -> list[bytes]:
@@ -66,7 +68,7 @@ def dump(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, kind: int =
     at, rows = len(out[0]), []
     for low in range(0, len(ids), block):
         part = ids[low : low + block]
-        planes = [pack.compress(x) if any(x) else b"" for x in to_planes(part, kind)]
+        planes = [pack.compress(x) if x.count(0) < len(x) else b"" for x in to_planes(part, kind)]
         rows.append([len(part), at, *map(len, planes)])
         out += planes
         at += sum(map(len, planes))
@@ -116,7 +118,23 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
-        self.cached = Encoder(lambda tokens: joined([x.ids for x in self._batch([t.decode() for t in tokens])]))
+        vocabulary = self.library.get_vocab()
+        #: bytes of each id's token, in which a sign stands for a byte
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.cached = Encoder(self._pieces)
+
+    def _pieces(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, PIECES at a time as the pieces of one text, told apart by the bytes they stand for."""
+        texts = [t.decode() for t in tokens]
+        groups = [texts[i : i + PIECES] for i in range(0, len(texts), PIECES)]
+        found = self.library.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        flat, _ = joined([x.ids for x in found])
+        past, ends = np.cumsum(self.size[flat]), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        at = np.searchsorted(past, ends)
+        if not len(flat) or past[-1] != ends[-1] or (past[at] != ends).any():  # ids that do not stand for all bytes
+            return joined([x.ids for x in self._batch(texts)])
+        return flat, np.diff(at + 1, prepend=0)
 
     def _batch(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)

@@ -293,6 +293,16 @@ def test_pretokens_met_again_outlast_a_full_cache(monkeypatch):
     assert met.count(b" often") == met.count(b" again") == 1 and len(met) == 2 + 20 * 200
 
 
+def test_op4_pieces_equal_single_texts():
+    encoder = tokenfile.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice("aé 日x'1<|>") for _ in range(rng.randrange(1, 9))).encode() for _ in range(1000)]
+    ids, sizes = encoder._pieces(tokens)
+    want = [x.ids for x in encoder._batch([t.decode() for t in tokens])]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [x.tolist() for x in encoder._pieces([])] == [[], []]
+
+
 def test_op8_lines_equal_brute_force(docs, rows, empty):
     unique = {(i, t): None for i, t in by_id(rows)}
     lines, first, order = [], {}, [k for k in unique]
