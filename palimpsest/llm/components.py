@@ -76,6 +76,7 @@ def link_buckets(
     scratch: Scratch,
     rounds: int = 2,
     few: int = FEW,
+    centres: int = 1,
     last: Callable[[DataFrame], DataFrame] | None = None,
     sift: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
@@ -96,7 +97,8 @@ def link_buckets(
 
     A bucket whose nodes are all in one component needs no pairs: they cannot change the result. Of
     the others, those with up to `few` nodes compare all of these, a bounded number for a row; in a
-    larger one a round compares the lowest-ranked node with the others. Larger buckets that hold
+    larger one the first round compares the lowest-ranked node with the others, later rounds about
+    `centres` nodes, so that a round makes a bounded number for a row. Larger buckets that hold
     several components after all rounds go to `last`, which gets their rows (bucket, node, x, c) and
     returns candidates (a, b) without all pairs of a bucket; without it, nodes of different
     components in a bucket are compared under may_link. So no link is lost.
@@ -134,19 +136,31 @@ def link_buckets(
             pairs = last(rest.join(nodes, "node").select("bucket", "node", "x", "c"))
         else:
             full = members = scratch.keep(rest.join(nodes, "node").select("bucket", "node", "rank", "x", "c"), "members")
-            # the centre: the lowest rank at first, later the lowest by a hash of the round
+            # the centre: the lowest rank at first, later the lowest by a hash of the round, and others by it
             rank = F.col("rank") if not step else F.xxhash64("node", F.lit(step))
             by = full.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "node")).alias("top"))
+            centre = F.lit(True)
+            if step < rounds:
+                centre = (F.col("n") <= few) | (F.col("node") == F.col("top.node"))
+                if step:
+                    centre |= F.pmod(rank, F.col("n")) < centres - 1
+            full = full.join(by, "bucket").withColumn("centre", centre)
+            once = "true"
             if step == rounds:
-                # a pair comes up in the first only of the buckets that it shares
-                full = full.join(full.groupBy("node").agg(F.collect_set("bucket").alias("own")), "node")
+                # a pair comes up in the first only of the buckets that it shares, and in none if one of the
+                # two has been a centre by its hash of such a bucket, which still has the same members
+                was = F.lit(False)
+                for k in range(1, rounds):
+                    was |= F.pmod(F.xxhash64("node", F.lit(k)), F.col("n")) < centres - 1
+                own = full.groupBy("node").agg(F.collect_set("bucket").alias("own"), F.collect_set(F.when(was, F.col("bucket"))).alias("led"))
+                full = full.join(own, "node")
+                once = "array_min(array_intersect(own, other)) = bucket and not arrays_overlap(led, other) and not arrays_overlap(own, led_too)"
             else:
-                full = full.withColumn("own", F.lit(None).cast("array<bigint>"))
-            partner = full.join(by, "bucket").where("true" if step == rounds else f"n <= {few} or node = top.node")
-            partner = partner.select("bucket", F.col("node").alias("b"), F.col("x").alias("y"), F.col("c").alias("d"), F.lit(step == rounds) | (F.col("n") <= few), "own")
-            partner = partner.toDF("bucket", "b", "y", "d", "every", "other")
-            met = full.join(partner, "bucket").where("if(every, c < d, c <> d)").where(may_link("x", "y"))
-            met = met.where("other is null or array_min(array_intersect(own, other)) = bucket")
+                full = full.withColumn("own", F.lit(None).cast("array<bigint>")).withColumn("led", F.col("own"))
+            full = full.select("bucket", "node", "x", "c", "centre", "own", "led")
+            partner = full.where("centre").drop("centre").toDF("bucket", "b", "y", "d", "other", "led_too")
+            # two centres meet once
+            met = full.join(partner, "bucket").where(f"if(centre, c < d, c <> d) and {may_link('x', 'y')} and {once}")
             pairs = met.select(F.col("node").alias("a"), "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs, "pairs")

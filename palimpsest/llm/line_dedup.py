@@ -40,6 +40,8 @@ BANDS, VALUES = 10, 3
 LONG, SHORT, WIDTH = 54, 60, 4
 #: Characters up to which lines have parities: beyond, so many edits are allowed that they rule little out.
 EVEN = 200
+#: Lines of a large bucket that the second round compares with all others of it.
+CENTRES = 16
 WORD_BYTES = kernel.byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _FACTORS = kernel.mix(np.arange(BANDS * VALUES, dtype=np.uint64)) | np.uint64(1)
 #: The bits of a byte, first to last, as bytes.
@@ -306,7 +308,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         both = pairs.join(known.selectExpr("node as a", "line as la"), "a").join(known.selectExpr("node as b", "line as lb"), "b")
         return confirm(both)
 
-    component = link_buckets(deal, nodes, may_link, verify, scratch, rounds=3, sift=lambda buckets: in_buckets(lines, buckets))
+    component = link_buckets(deal, nodes, may_link, verify, scratch, rounds=2, centres=CENTRES, sift=lambda buckets: in_buckets(lines, buckets))
     # a class without links is told by all of `same`, so that others join it by no chance
     grouped = classes.join(component, "node", "left").select(
         *same, "n", F.coalesce("component", "node").alias("c"),

@@ -422,6 +422,26 @@ def test_buckets_lose_no_link(spark, few, rounds):
     assert {(r.node, r.component) for r in found.collect()} == {(2, 2), (3, 2)}
 
 
+def test_buckets_of_scattered_links_make_few_pairs(spark):
+    # any two of 240 are linked with a chance of 0.08, but for 20 that are alone
+    scratch, met, size = Scratch(spark, "test"), [], 240
+    nodes = spark.range(size).selectExpr("id as node", "0 as rank", "struct(id as v) as x")
+
+    def deal(step, component, rest):
+        rows = nodes.selectExpr("explode(array(7L, 8L)) as bucket", "node", "node as c")
+        return rows if component is None else rows.drop("c").join(component, "node", "left").selectExpr("bucket", "node", "coalesce(component, node) as c")
+
+    def verify(pairs, _):
+        met.append(pairs.collect())
+        return pairs.where("least(a, b) >= 20 and pmod(xxhash64(least(a, b), greatest(a, b)), 100) < 8")
+
+    found = {r.node: r.component for r in link_buckets(deal, nodes, lambda x, y: "true", verify, scratch, rounds=2, centres=16).collect()}
+    assert found == dict.fromkeys(range(20, size), 20)
+    assert sum(map(len, met)) < 0.7 * size * (size - 1) / 2
+    _, wide, last = map(set, met)
+    assert len(wide & last) < size  # of the centre by the least hash only
+
+
 def test_op9_components_equal_brute_force(docs, rows, empty):
     sets = []
     for _, t in rows:
