@@ -232,8 +232,11 @@ def normal_forms(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, line string").join(nodes, "node").groupBy("node").agg(F.first("line").alias("line"))
 
 
-def edits(a: str, b: str) -> int:
-    """The edit distance, by Myers' bit vectors over what is left between equal ends."""
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """The edit distance, by Myers' bit vectors over what is left between equal ends.
+
+    Of more than `most` edits it is only told that there are more.
+    """
     same = 0
     for x, y in zip(a, b):  # noqa: B905
         if x != y:
@@ -247,6 +250,10 @@ def edits(a: str, b: str) -> int:
     a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or not b:
         return len(a) + len(b)
+    # out falls by at most one with each character that is left of b
+    room = len(b) + (len(a) + len(b) if most is None else most)
+    if abs(len(a) - len(b)) > room - len(b):
+        return room - len(b) + 1
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -257,6 +264,9 @@ def edits(a: str, b: str) -> int:
         zero = (((met & plus) + plus) ^ plus) | met | minus
         up, down = minus | ~(zero | plus) & full, plus & zero
         out += (up >> top & 1) - (down >> top & 1)
+        room -= 1
+        if out > room:
+            return out
         up = up << 1 & full | 1
         plus, minus = (down << 1 | ~(zero | up)) & full, up & zero
     return out
@@ -267,11 +277,11 @@ def confirm(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [
-                i
-                for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-                if edits(x, y) <= int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
-            ]
+            good = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                most = int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
+                if edits(x, y, most) <= most:
+                    good.append(i)
             kept = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
 

@@ -442,6 +442,16 @@ def test_buckets_of_scattered_links_make_few_pairs(spark):
     assert len(wide & last) < size  # of the centre by the least hash only
 
 
+def test_op8_edits_stop_at_the_most():
+    rng = random.Random(2)
+    for _ in range(2000):
+        x = "".join(rng.choice("abé") for _ in range(rng.randrange(30)))
+        y = "".join(rng.choice("abé") if rng.random() < 0.2 else c for c in x)[rng.randrange(3) :]
+        full, most = line_dedup.edits(x, y), rng.randrange(8)
+        found = line_dedup.edits(x, y, most)
+        assert found == full if full <= most else found > most
+
+
 def test_op9_components_equal_brute_force(docs, rows, empty):
     sets = []
     for _, t in rows:
